@@ -88,7 +88,8 @@ def pivot(sizes: np.ndarray, mass: np.ndarray, names: list, salt: tuple) -> tupl
 
 def _node(level: int, seed: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "place"], kind="stable", na_position="last").reset_index(drop=True)
+        # Large documents first: smaller ones after them close what is open, so the last rounding moves few words.
+        pdf = pdf.sort_values(["size", "doc_id", "place"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
         names = list(zip(pdf["doc_id"].astype(str), pdf["place"].astype(str), strict=True))
         size = pdf["size"].to_numpy(float)
         mass, at = pivot(size, pdf["mass"].to_numpy(float), names, (seed, level))
