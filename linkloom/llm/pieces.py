@@ -37,6 +37,9 @@ class PieceEncoder:
     """ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

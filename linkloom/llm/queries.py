@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, quality_rules, token_counts, token_file, trie_bpe
+from . import language_id, mixing, near_dedup, quality_bayes, quality_rules, token_counts, token_file, topk_search, trie_bpe
 from .common import documents, shared_path, table
 
 
@@ -17,6 +17,10 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_file.write_tokens(documents(spark, sf_dir), tokenizer(), shared_path(spark, "tokens"))
     return token_file.read_tokens(spark, path)
@@ -31,6 +35,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bayes.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.encode(documents(spark, sf_dir), tokenizer())
 
@@ -46,5 +58,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer(), token_counts.fresh_cache(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_file, op3_mixing, op4_quality_rules, op8_bpe_trie, op9_language_id, op10_token_counts)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_token_file, op3_mixing, op4_quality_rules, op5_quality_bayes, op7_topk_search, op8_bpe_trie, op9_language_id, op10_token_counts)}
+ORACLE: dict[str, str] = {
+    "op7_topk_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+}
