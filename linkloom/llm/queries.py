@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, near_dedup, quality_bayes, quality_rules, token_counts, token_file, topk_search, trie_bpe
+from . import language_id, line_dedup, mixing, near_dedup, quality_bayes, quality_rules, token_counts, token_file, topk_search, trie_bpe
 from .common import documents, shared_path, table
 
 
@@ -39,6 +39,11 @@ def op5_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bayes.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"), F.col("removed_").alias("removed_lines"))
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -58,7 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer(), token_counts.fresh_cache(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_token_file, op3_mixing, op4_quality_rules, op5_quality_bayes, op7_topk_search, op8_bpe_trie, op9_language_id, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_token_file, op3_mixing, op4_quality_rules, op5_quality_bayes, op6_line_dedup, op7_topk_search, op8_bpe_trie, op9_language_id, op10_token_counts)}
 ORACLE: dict[str, str] = {
     "op7_topk_search": """
         WITH v AS (
