@@ -11,19 +11,37 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
+import regex
 
 from .common import chunks
 
 #: Unicode's White_Space.
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Pieces that a worker remembers, and the longest that it does.
-MEMO, LONGEST = 500_000, 48
+#: Fixed value: how byte-level BPE splits text into words.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PLAIN = chr(0)
+#: Pieces that a generation of a worker's memo holds, and the longest that it does.
+MEMO, LONGEST = 400_000, 48
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter by which a byte-level vocabulary writes each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def single_blanks(text: str) -> bool:
+    """Whether all white space is blanks and line ends, single, between other printable characters."""
+    return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(p in text for p in ("  ", " \n", "\n ", "\n\n")) and text.replace("\n", "").isprintable()
+
 
 _loaded: dict[tuple[str, type], object] = {}
 
@@ -53,6 +71,11 @@ class PieceEncoder:
         self.by_piece = self.by_piece and all(map(plain, told.get("added_tokens", [])))
         self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        if self.by_piece:
+            self.model = Tokenizer(self.tokenizer.model)
+            self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
+            self.line_ids = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text; a special string is one."""
@@ -60,30 +83,56 @@ class PieceEncoder:
             return [p for i, part in enumerate(self.split.split(text)) if part for p in ([part] if i % 2 else PIECE.findall(part))]
         return PIECE.findall(text)
 
+    def keys(self, text: str) -> list[str]:
+        """Keys of a text's pieces. Where single blanks and single line ends are all its white space, a split at blanks
+        gives them: ``w`` stands for a blank and w, ``\\nw`` for a line end and w. Other pieces have ``PLAIN`` before."""
+        if single_blanks(text) and (self.split is None or not any(s in text for s in self.special)):
+            found = text.replace("\n", " \n").split(" ")
+            found[0] = PLAIN + found[0]
+            return found
+        return [PLAIN + p for p in self.pieces(text)]
+
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of pieces that the memo lacks."""
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
-        return {s: np.array(e.ids, "<u4").tobytes() for s, e in zip(new, got, strict=True)}
+        """The ids of pieces: their words, told apart as the file's own pre-tokenizer does, go through its model at once."""
+        split = {p: [p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else SPLIT.findall(p) for p in new if p not in self.special}
+        known = {w: got for w in set(chain.from_iterable(split.values())) if w[:1] == " " and (got := self.memo.get(w[1:])) is not None}
+        words = sorted({w for ws in split.values() for w in ws if w not in known})
+        known |= zip(words, self.encode_words(words), strict=True)
+        got = {p: known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws)) for p, ws in split.items()}
+        return got | {p: np.array([self.special[p]], "<u4").tobytes() for p in new if p in self.special}
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words in sorted order, by the library."""
+        letters = self.letters
+        mapped = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters) for w in words]
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(mapped, add_special_tokens=False)] if words else []
+
+    def resolve(self, keys: list[str]) -> dict[str, bytes]:
+        """The ids that keys stand for."""
+        text = {k: k[1:] if k[:1] in (PLAIN, "\n") else " " + k for k in keys}
+        got = self.learn([p for p in set(text.values()) if p])
+        got[""] = b""
+        return {k: self.line_ids + got[p] if k[:1] == "\n" else got[p] for k, p in text.items()}
 
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text in turn; memory holds the pieces of a chunk of texts."""
+        """The ids of each text in turn; memory holds the pieces of a chunk of texts and two generations of the memo."""
         for _, some in chunks(texts):
             if not self.by_piece:
                 for e in self.tokenizer.encode_batch(some, add_special_tokens=False):
                     yield np.array(e.ids, "<u4").tobytes()
                 continue
-            split = [self.pieces(t) for t in some]
+            split = [self.keys(t) for t in some]
             if len(self.memo) > MEMO:
-                self.memo.clear()
+                self.old, self.memo = self.memo, {}
             new = set(chain.from_iterable(split)).difference(self.memo)
-            long = self.learn([s for s in new if len(s) > LONGEST])
-            self.memo.update(self.learn([s for s in new if len(s) <= LONGEST]))
-            get = self.memo.__getitem__
-            if long:
-                both = self.memo | long if len(self.memo) < 1000 else _Both(self.memo, long)
-                get = both.__getitem__
-            for p in split:
-                yield b"".join(map(get, p))
+            kept = new & self.old.keys()
+            self.memo.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
+            new -= kept
+            long = self.resolve([k for k in new if len(k) > LONGEST])
+            self.memo.update(self.resolve([k for k in new if len(k) <= LONGEST]))
+            get = (_Both(self.memo, long) if long else self.memo).__getitem__
+            for keys in split:
+                yield b"".join(map(get, keys))
 
 
 class _Both(dict):

@@ -38,9 +38,9 @@ from .pieces import encoder
 
 SCALE = 20
 LOW = 1 << 31
-LANES, INTERVAL = 256, 256
+LANES, INTERVAL = 1024, 256
 #: A block closes with the document that brings it to so many tokens.
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 19
 NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<4s6IQ")
 

@@ -20,28 +20,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, strings
-from .pieces import PieceEncoder, encoder
-
-#: Fixed value: how byte-level BPE splits text into words.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-
-
-def byte_letters() -> dict[int, str]:
-    """The printable letter by which a byte-level vocabulary writes each byte."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
+from .pieces import PieceEncoder, byte_letters, encoder
 
 class TrieBPE(PieceEncoder):
     """Encodes by the trie, decodes by the vocabulary."""
@@ -68,7 +58,10 @@ class TrieBPE(PieceEncoder):
         atoms = {b for b in self.bytes_of.values() if len(b) == 1}
         # an entry that its own merges never form is no state
         self.id_of = {b: i for i, b in self.bytes_of.items() if i not in self.special.values() and (b in atoms or self.forms(i))}
-        self.longest = max(map(len, self.id_of), default=1)
+        self.ends = ahocorasick.Automaton()  # all entries that end at a place, longest first
+        for b, i in self.id_of.items():
+            self.ends.add_word(b.decode("latin-1"), (len(b), i))
+        self.ends.make_automaton()
 
     def forms(self, token: int) -> bool:
         if token not in self.parts:
@@ -91,51 +84,49 @@ class TrieBPE(PieceEncoder):
             else:
                 end, v = rv + 1, self.parts[v][1]
 
-    def words(self, sorted_words: list[bytes]) -> list[bytes]:
-        """ids (uint32 bytes) of distinct words in sorted order."""
-        out, before = [], b""
-        last, size = [0], [0]  # of each depth: the last token's id and its length
-        get, ok, longest = self.id_of.get, self.ok, self.longest
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """ids of distinct words, depth first through their trie."""
+        raw = [w.encode("utf-8", "surrogatepass").decode("latin-1") for w in words]
+        order = sorted(range(len(raw)), key=raw.__getitem__)
+        out: list[bytes] = [b""] * len(raw)
+        last, size, before = [0], [0], ""  # of each depth: the last token's id and its length
+        ok, find = self.ok, self.ends.iter
         if len(ok) > 2_000_000:
             ok.clear()
-        for w in sorted_words:
+        for k in order:
+            w = raw[k]
             depth, most = 0, min(len(w), len(before))
             while depth < most and w[depth] == before[depth]:
                 depth += 1
             del last[depth + 1 :], size[depth + 1 :]
-            for d in range(depth + 1, len(w) + 1):
-                for a in range(max(0, d - longest), d):
-                    t = get(w[a:d])
-                    if t is None:
+            d = depth  # states known so far
+            for end, (n, t) in find(w):
+                if end < d:
+                    continue
+                if end > d:
+                    raise ValueError(f"the vocabulary lacks a byte of {w!r}")
+                a = end + 1 - n
+                if a:
+                    pair = (last[a], t)
+                    may = ok.get(pair)
+                    if may is None:
+                        may = ok[pair] = self.apart(*pair)
+                    if not may:
                         continue
-                    if a:
-                        pair = (last[a], t)
-                        may = ok.get(pair)
-                        if may is None:
-                            may = ok[pair] = self.apart(*pair)
-                        if not may:
-                            continue
-                    last.append(t)
-                    size.append(d - a)
-                    break
-                else:
-                    raise ValueError(f"the vocabulary lacks the byte {w[d - 1]}")
+                last.append(t)
+                size.append(n)
+                d += 1
+            if d < len(w):
+                raise ValueError(f"the vocabulary lacks a byte of {w!r}")
             before = w
             ids, at = [], len(w)
             while at:
                 ids.append(last[at])
                 at -= size[at]
-            out.append(np.array(ids[::-1], "<u4").tobytes())
+            ids.reverse()
+            out[k] = array("I", ids).tobytes()
         return out
 
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of pieces, by the trie of their distinct words."""
-        split = {s: [s.encode("utf-8", "surrogatepass")] if s.isalpha() else [w.encode("utf-8", "surrogatepass") for w in SPLIT.findall(s)] for s in new if s not in self.special}
-        words = sorted({w for ws in split.values() for w in ws})
-        ids = dict(zip(words, self.words(words), strict=True))
-        got = {s: b"".join(map(ids.__getitem__, ws)) for s, ws in split.items()}
-        return got | {s: np.array([self.special[s]], "<u4").tobytes() for s in new if s in self.special}
-
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
