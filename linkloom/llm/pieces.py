@@ -8,6 +8,7 @@ texts. Special strings in a text become their special ids, as in the library.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -116,6 +117,7 @@ class PieceEncoder:
 
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text in turn; memory holds the pieces of a chunk of texts and two generations of the memo."""
+        gc.disable()  # dictionaries of strings hold no cycles, and each pass over them would cost as much as the encoding
         for _, some in chunks(texts):
             if not self.by_piece:
                 for e in self.tokenizer.encode_batch(some, add_special_tokens=False):
