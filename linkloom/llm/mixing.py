@@ -110,7 +110,7 @@ def _rounded(rows: DataFrame, level: int, seed: int, last: bool) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 17) -> DataFrame:
     """doc_id, size, source, source_size, target, copies and taken for each row of docs(doc_id, text, source)."""
-    sized = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "source")
+    sized = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "source")
     sized = stored(sized, "mix-sizes")
     plan = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, cap), "mix-targets")
     most = plan.agg(F.max("n")).first()[0] or 0
