@@ -13,8 +13,8 @@ k ln k darts however long it is.
 none of them with probability below 3e-5. Texts with the same set of shingles
 are one node, so copies cost nothing. In each bucket nodes are compared with one
 centre, never in all pairs; buckets that still hold more than one component get
-other centres for some rounds, and only what is left then is compared pair by
-pair between components. Every link is verified on the whole shingle sets.
+another centre, and the nodes of those left are joined exactly by prefix,
+positional and length filters. Every link is verified on the whole shingle sets.
 
 Defined cases: words are runs outside ASCII white space; a text of one to four
 words is one shingle; null, empty and blank texts are classes of their own; a
@@ -38,8 +38,9 @@ from .components import components
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
-#: Rounds of centres before components are compared pair by pair.
-CENTRE_ROUNDS = 3
+#: Rounds of centres before the nodes left are joined exactly, and the hashed counters that order shingles there.
+CENTRE_ROUNDS = 1
+COUNTERS = 1 << 16
 #: Rows of ids (16 bytes) that may be broadcast, counted first; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -188,31 +189,67 @@ def _with_comp(members: DataFrame, comps: DataFrame) -> DataFrame:
     return stored(m.join(open_, F.col("bucket") == F.col("_b"), "left_semi"), "near-open")
 
 
+def _hashed_counts(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS, np.int64)
+    for b in it:
+        total += np.bincount(b.column("elements").flatten().to_numpy(zero_copy_only=False) & (COUNTERS - 1), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+
+def exact_pairs(open_: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of nodes of different components in open_(node, comp) that may reach the threshold, by an exact prefix
+    join: shingles are ordered by rarity (hashed counts over these nodes), a pair must share one of the first
+    n - ceil(t n) + 1, be of like size and have enough left after it. The shingles that edits made come first, so the
+    many variants of one text do not meet in all pairs."""
+    some = stored(sets.join(open_, "node").select("node", "comp", "elements"), "near-open-sets")
+    counted = some.select("elements").mapInArrow(_hashed_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # COUNTERS rows at most
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in counted:
+        counts[r["at"]] = r["n"]
+    shared = some.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            got, sizes = [], []
+            for e in b.column("elements"):
+                x = e.values.to_numpy(zero_copy_only=False)
+                n = len(x)
+                keep = n - int(np.ceil(threshold * n - 1e-9)) + 1
+                got.append(x[np.lexsort((x, shared.value[x & (COUNTERS - 1)]))[:keep]])
+                sizes.append(n)
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("comp"), pa.array(sizes, pa.int32()), pa.array(got, pa.list_(pa.int64()))], names=["node", "comp", "n", "pre"])
+
+    rows = some.mapInArrow(prefixes, "node long, comp long, n int, pre array<long>").select("node", "comp", "n", F.posexplode("pre").alias("i", "token"))
+    x, y = rows.alias("x"), rows.alias("y")
+    c = F.col
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (c("x.n") + c("y.n")) - F.lit(1e-9))
+    fits = (c("x.n") >= threshold * c("y.n") - 1e-9) & (c("y.n") >= threshold * c("x.n") - 1e-9) & (1 + F.least(c("x.n") - c("x.i") - 1, c("y.n") - c("y.i") - 1) >= need)
+    found = x.join(y, (c("x.token") == c("y.token")) & (c("x.comp") > c("y.comp")) & fits)
+    return found.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
 def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, rounds: int = CENTRE_ROUNDS) -> DataFrame:
-    """node and comp of the nodes linked through members(bucket, node), each node once a bucket."""
+    """node and comp of the nodes linked through members(bucket, node, copies), each node once a bucket."""
     pair = lambda a, b: [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
-    centres = members.groupBy("bucket").agg(F.min("node").alias("centre")).withColumnRenamed("bucket", "_b")
+    # originals tend to have most copies, and variants are nearer to them than to each other
+    centres = members.groupBy("bucket").agg(F.max(F.struct("copies", "node")).alias("c")).select(F.col("bucket").alias("_b"), F.col("c.node").alias("centre"))
     shared = members.join(centres, F.col("bucket") == F.col("_b")).where("node <> centre").groupBy("node", "centre").count()
     best = shared.groupBy("node").agg(F.max(F.struct("count", "centre")).alias("m"))  # the centre met in most buckets
     tried = stored(best.select(*pair("node", "m.centre")).distinct(), "near-tried")
-    edges = stored(verified(tried, sets, threshold), "near-links")
-    comps = components(edges)
-    for r in range(rounds + 1):
+    comps = components(stored(verified(tried, sets, threshold), "near-links"))
+    for r in range(rounds):
         open_ = _with_comp(members, comps)
-        if r < rounds:
-            by = F.xxhash64(F.lit(r), "node")
-            pick = open_.groupBy("bucket").agg(F.min(F.struct(by.alias("h"), "node", "comp")).alias("p")).select(F.col("bucket").alias("_b"), F.col("p.node").alias("other"), F.col("p.comp").alias("_c"))
-            new = open_.join(pick, (F.col("bucket") == F.col("_b")) & (F.col("comp") != F.col("_c")))
-        else:
-            other = open_.select(F.col("bucket").alias("_b"), F.col("node").alias("other"), F.col("comp").alias("_c"))
-            new = open_.join(other, (F.col("bucket") == F.col("_b")) & (F.col("comp") > F.col("_c")))
+        pick = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("h"), "node", "comp")).alias("p")).select(F.col("bucket").alias("_b"), F.col("p.node").alias("other"), F.col("p.comp").alias("_c"))
+        new = open_.join(pick, (F.col("bucket") == F.col("_b")) & (F.col("comp") != F.col("_c")))
         new = stored(new.select(*pair("node", "other")).distinct().join(tried, ["a", "b"], "left_anti"), "near-new")
-        if new.isEmpty():
-            if r < rounds:
-                continue
-            break
         found = stored(verified(new, sets, threshold), "near-links")
-        tried, edges = tried.union(new), edges.union(found)
+        tried = tried.union(new)
+        if not found.isEmpty():
+            comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found))
+    open_ = stored(_with_comp(members, comps).select("node", "comp").distinct(), "near-left")
+    if not open_.isEmpty():
+        found = stored(verified(stored(exact_pairs(open_, sets, threshold), "near-pairs"), sets, threshold), "near-links")
         if not found.isEmpty():
             comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found))
     return comps
@@ -221,10 +258,10 @@ def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, roun
 def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """doc_id, class_id and class_size for each row of docs(doc_id, text)."""
     got = stored(signed(docs, width, bands, rows, weighted), "near-signed")
-    nodes = stored(got.where("node is not null").groupBy("node", "bands").agg(F.min("doc_id").alias("first")), "near-nodes")
-    members = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
+    nodes = stored(got.where("node is not null").groupBy("node", "bands").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "near-nodes")
+    members = nodes.select("node", "copies", F.explode("bands").alias("bucket")).dropDuplicates(["node", "bucket"])
     full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("_b"))
-    members = stored(members.join(full, F.col("bucket") == F.col("_b"), "left_semi").select("bucket", "node"), "near-members")
+    members = stored(members.join(full, F.col("bucket") == F.col("_b"), "left_semi").select("bucket", "node", "copies"), "near-members")
     involved = members.select("node").distinct().withColumnRenamed("node", "_n")
     firsts = stored(nodes.join(involved, F.col("node") == F.col("_n"), "left_semi").select(F.col("first")).distinct(), "near-firsts")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(_small(firsts), F.col("_id").eqNullSafe(F.col("first")), "left_semi")
