@@ -62,12 +62,12 @@ SCORE = "CAST(0.35 AS DOUBLE) + CAST(0.35 AS DOUBLE) * (s / l) + CAST(0.30 AS DO
 CANDS = f"""
     sco AS (SELECT p.mention, a.item_id, p.alias, p.fo, p.fp, {SCORE} AS score FROM prs p JOIN ali a ON a.alias = p.alias),
     bst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention, item_id ORDER BY score DESC, fo, fp, alias) AS b FROM sco) WHERE b = 1),
-    fuz AS (SELECT * FROM (SELECT mention, 'B' || item_id AS entity_id, score, row_number() OVER (PARTITION BY mention ORDER BY score DESC, length(alias) DESC, 'B' || item_id DESC) AS at FROM bst) WHERE at <= 10),
-    exa AS (SELECT mention, 'B' || item_id AS entity_id, item_id AS at FROM men JOIN ali ON alias = mention),
-    uni AS (SELECT mention, entity_id, CAST(0.95 AS DOUBLE) AS score, 'alias_exact' AS method, 0 AS stage, at FROM exa
-            UNION ALL SELECT mention, entity_id, score, 'alias_fuzzy', 1, at FROM fuz),
-    see AS (SELECT *, row_number() OVER (PARTITION BY mention, entity_id ORDER BY stage, at) AS r FROM uni),
-    cnd AS (SELECT * FROM (SELECT mention, entity_id, score, method, row_number() OVER (PARTITION BY mention ORDER BY stage, at, entity_id) AS cand_ord FROM see WHERE r = 1) WHERE cand_ord <= 10)"""
+    fuz AS (SELECT * FROM (SELECT mention, 'B' || item_id AS entity_id, score, row_number() OVER (PARTITION BY mention ORDER BY score DESC, length(alias) DESC, 'B' || item_id DESC) AS pl FROM bst) WHERE pl <= 10),
+    exa AS (SELECT mention, 'B' || item_id AS entity_id, item_id AS pl FROM men JOIN ali ON alias = mention),
+    uni AS (SELECT mention, entity_id, CAST(0.95 AS DOUBLE) AS score, 'alias_exact' AS method, 0 AS stage, pl FROM exa
+            UNION ALL SELECT mention, entity_id, score, 'alias_fuzzy', 1, pl FROM fuz),
+    see AS (SELECT *, row_number() OVER (PARTITION BY mention, entity_id ORDER BY stage, pl) AS r FROM uni),
+    cnd AS (SELECT * FROM (SELECT mention, entity_id, score, method, row_number() OVER (PARTITION BY mention ORDER BY stage, pl, entity_id) AS cand_ord FROM see WHERE r = 1) WHERE cand_ord <= 10)"""
 
 
 def micro(c: str):
@@ -243,10 +243,10 @@ TALK = "tk AS (SELECT conv_id, turn, role, CASE WHEN length(text) % 2 = 0 THEN '
 
 
 @query(
-    f"""WITH {TALK}, p AS (SELECT m.conv_id, m.turn, a.turn AS at, a.e, CAST(0.82 AS DOUBLE) - CAST(0.06 AS DOUBLE) * (greatest(1, m.turn - a.turn) - 1) - CAST(0.05 AS DOUBLE) * (m.turn - a.turn) + CASE WHEN m.turn = a.turn THEN CAST(0.08 AS DOUBLE) ELSE 0 END
+    f"""WITH {TALK}, p AS (SELECT m.conv_id, m.turn, a.turn AS pt, a.e, CAST(0.82 AS DOUBLE) - CAST(0.06 AS DOUBLE) * (greatest(1, m.turn - a.turn) - 1) - CAST(0.05 AS DOUBLE) * (m.turn - a.turn) + CASE WHEN m.turn = a.turn THEN CAST(0.08 AS DOUBLE) ELSE 0 END
       + CASE WHEN a.kind = 'ORG' THEN CAST(0.05 AS DOUBLE) ELSE 0 END AS score FROM tk m JOIN tk a ON a.conv_id = m.conv_id AND a.role = 'user' AND a.turn < m.turn AND m.turn - a.turn <= 3 WHERE m.role = 'assistant'),
-    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, at DESC) AS r FROM p) WHERE r = 1)
-    SELECT m.conv_id AS doc_id, CAST(m.turn AS INTEGER) AS idx, CAST(b.at AS INTEGER) AS antecedent_idx, CASE WHEN b.score >= CAST(0.55 AS DOUBLE) THEN b.e END AS entity_id, CAST(floor(coalesce(b.score, 0) * 1000000) AS BIGINT) AS score_micro,
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, pt DESC) AS r FROM p) WHERE r = 1)
+    SELECT m.conv_id AS doc_id, CAST(m.turn AS INTEGER) AS idx, CAST(b.pt AS INTEGER) AS antecedent_idx, CASE WHEN b.score >= CAST(0.55 AS DOUBLE) THEN b.e END AS entity_id, CAST(floor(coalesce(b.score, 0) * 1000000) AS BIGINT) AS score_micro,
       CASE WHEN b.score IS NULL THEN 'no_compatible_antecedent' WHEN b.score < CAST(0.55 AS DOUBLE) THEN 'below_nil_threshold' ELSE 'recency_type_sentence' END AS rule
     FROM tk m LEFT JOIN b ON b.conv_id = m.conv_id AND b.turn = m.turn WHERE m.role = 'assistant'"""
 )
@@ -255,9 +255,9 @@ def coref_single(spark, sf):
 
 
 @query(
-    f"""WITH {TALK}, p AS (SELECT m.conv_id, m.turn, a.turn AS at, a.e, row_number() OVER (PARTITION BY m.conv_id, m.turn ORDER BY a.turn DESC) AS r, count(*) OVER (PARTITION BY m.conv_id, m.turn) AS n
+    f"""WITH {TALK}, p AS (SELECT m.conv_id, m.turn, a.turn AS pt, a.e, row_number() OVER (PARTITION BY m.conv_id, m.turn ORDER BY a.turn DESC) AS r, count(*) OVER (PARTITION BY m.conv_id, m.turn) AS n
       FROM tk m JOIN tk a ON a.conv_id = m.conv_id AND a.role = 'user' AND a.turn < m.turn WHERE m.role = 'assistant')
-    SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS idx, CAST(at AS INTEGER) AS antecedent_idx, e AS entity_id FROM p WHERE n >= 2 AND r = CASE WHEN turn % 4 < 2 THEN 2 ELSE 1 END"""
+    SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS idx, CAST(pt AS INTEGER) AS antecedent_idx, e AS entity_id FROM p WHERE n >= 2 AND r = CASE WHEN turn % 4 < 2 THEN 2 ELSE 1 END"""
 )
 def coref_ordinal(spark, sf):
     return coref.ordinal(talk(spark, sf, F.when(F.col("turn") % 4 < 2, "前者").otherwise("后者"))).select("doc_id", "idx", "antecedent_idx", "entity_id")
@@ -270,10 +270,10 @@ def coref_fold(spark, sf):
 
 
 def groups_text(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """A text of four characters a turn, and its mentions: user turns are names with a conjunction after them."""
+    """A text of four characters a turn, and its mentions: user turns are names, most with a conjunction after them."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = t(spark, sf, "conversations").withColumn("i", (F.row_number().over(w) - 1).cast("int"))
-    cell = F.when(F.col("role") == "user", "AAA和").when(F.col("role") == "assistant", "双方。。").otherwise("xxxx")
+    cell = F.when(F.col("role") == "user", F.when(F.length("text") % 3 == 0, "AAA。").otherwise("AAA和")).when(F.col("role") == "assistant", "双方。。").otherwise("xxxx")
     docs = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", cell.alias("c")))), lambda x: x["c"]), "").alias("text")).withColumnRenamed("conv_id", "doc_id")
     user = F.col("role") == "user"
     m = c.where(F.col("role") != "system").select(F.col("conv_id").alias("doc_id"), F.col("i").alias("idx"), F.when(user, "AAA").otherwise("双方").alias("mention"), F.when(user, "ORG").otherwise("PRON").alias("mention_type"), (4 * F.col("i")).alias("char_start"), (4 * F.col("i") + F.when(user, 3).otherwise(2)).alias("char_end"), F.lit(0).alias("sentence_index"), F.lit("").alias("role"), F.when(user, F.concat(F.lit("E"), (F.length("text") % 5).cast("string"))).alias("entity_id"))
@@ -282,7 +282,7 @@ def groups_text(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @query(
     """WITH c AS (SELECT conv_id, role, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
-    u AS (SELECT conv_id, i, 'E' || (n % 5) AS e, i - row_number() OVER (PARTITION BY conv_id ORDER BY i) AS run FROM c WHERE role = 'user'),
+    u AS (SELECT conv_id, i, 'E' || (n % 5) AS e, sum(brk) OVER (PARTITION BY conv_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN lag(n) OVER (PARTITION BY conv_id ORDER BY i) % 3 <> 0 THEN 0 ELSE 1 END AS brk FROM c WHERE role = 'user')),
     a AS (SELECT conv_id, i FROM c WHERE role = 'assistant'),
     g AS (SELECT a.conv_id, a.i, u.run, count(*) AS k, max(u.i) AS last, list_sort(list_distinct(list(u.e))) AS ids FROM a JOIN u ON u.conv_id = a.conv_id AND u.i < a.i GROUP BY a.conv_id, a.i, u.run HAVING count(*) >= 2 AND count(DISTINCT u.e) >= 2),
     l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, i ORDER BY last DESC) AS r FROM g) WHERE r = 1)
@@ -396,9 +396,9 @@ def eval_breakdown(spark, sf):
 
 
 @query(
-    """WITH s AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(l_suppkey % 7))) AS g, list_sort(list_distinct(list(l_partkey % 7))) AS p FROM lineitem GROUP BY l_orderkey), c AS (SELECT *, len(list_intersect(g, p)) AS both FROM s)
-    SELECT k AS l_orderkey, g = p AS exact, CAST(both AS INTEGER) AS overlap, both / len(p) AS set_precision, both / len(g) AS set_recall,
-      CASE WHEN g = p THEN 'none' WHEN len(g) > both AND len(p) = both AND both > 0 THEN 'partial_set' WHEN len(p) > both AND len(g) = both THEN 'superset' WHEN both > 0 THEN 'overlap' ELSE 'wrong_set' END AS set_error FROM c"""
+    """WITH s AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(l_suppkey % 7))) AS g, list_sort(list_distinct(list(l_partkey % 7))) AS p FROM lineitem GROUP BY l_orderkey), c AS (SELECT *, len(list_intersect(g, p)) AS bo FROM s)
+    SELECT k AS l_orderkey, g = p AS exact, CAST(bo AS INTEGER) AS overlap, bo / len(p) AS set_precision, bo / len(g) AS set_recall,
+      CASE WHEN g = p THEN 'none' WHEN len(g) > bo AND len(p) = bo AND bo > 0 THEN 'partial_set' WHEN len(p) > bo AND len(g) = bo THEN 'superset' WHEN bo > 0 THEN 'overlap' ELSE 'wrong_set' END AS set_error FROM c"""
 )
 def eval_sets(spark, sf):
     s = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_suppkey") % 7).alias("g"), F.collect_set(F.col("l_partkey") % 7).alias("p"))
