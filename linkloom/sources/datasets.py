@@ -8,9 +8,14 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 
-MENTION = T.StructType.fromDDL("mention string, type string, mention_type string, char_start int, start int, char_end int, end int, confidence double, metadata map<string,string>")
-REQUEST = T.StructType([T.StructField("text", T.StringType()), T.StructField("mentions", T.ArrayType(MENTION)), T.StructField("kb", T.StringType()), T.StructField("options", T.MapType(T.StringType(), T.StringType()))])
-SAMPLE = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("mentions", T.ArrayType(MENTION)), T.StructField("expected_entities", T.ArrayType(T.StructType.fromDDL("mention string, entity_id string"))), T.StructField("has_nil", T.BooleanType()), T.StructField("scenario", T.StringType())])
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, k) for n, k in fields.items()])
+
+
+_TEXT, _INT = T.StringType(), T.IntegerType()
+MENTION = struct(mention=_TEXT, type=_TEXT, mention_type=_TEXT, char_start=_INT, start=_INT, char_end=_INT, end=_INT, confidence=T.DoubleType(), metadata=T.MapType(_TEXT, _TEXT))
+REQUEST = struct(text=_TEXT, mentions=T.ArrayType(MENTION), kb=_TEXT, options=T.MapType(_TEXT, _TEXT))
+SAMPLE = struct(id=_TEXT, text=_TEXT, mentions=T.ArrayType(MENTION), expected_entities=T.ArrayType(struct(mention=_TEXT, entity_id=_TEXT)), has_nil=T.BooleanType(), scenario=_TEXT)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 
-ENTITY_SCHEMA = T.StructType.fromDDL("entity_id string, standard_name string, aliases array<string>, entity_type string, description string, metadata map<string,string>, entity_ord long")
+_TEXT = T.StringType()
+_FIELDS = {"entity_id": _TEXT, "standard_name": _TEXT, "aliases": T.ArrayType(_TEXT), "entity_type": _TEXT, "description": _TEXT, "metadata": T.MapType(_TEXT, _TEXT), "entity_ord": T.LongType()}
+ENTITY_SCHEMA = T.StructType([T.StructField(n, k) for n, k in _FIELDS.items()])
 
 
 def _records(node: object) -> Iterator[dict]:
