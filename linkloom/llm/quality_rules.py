@@ -127,7 +127,7 @@ def _grow(x: np.ndarray, y: np.ndarray, names: list[str], longest: int) -> list[
 def learn(x: np.ndarray, reject: np.ndarray, names: list[str], min_precision: float = 0.9, min_cover: int = 8, longest: int = 3, most_rules: int = 12) -> DecisionList:
     """Sequential covering of the rows to reject; rules below ``min_precision`` end the list, all else is kept."""
     out, left, reject = DecisionList(), np.ones(len(x), bool), reject.astype(bool)
-    part = np.arange(len(x)) % 3
+    part = np.random.default_rng(len(x)).integers(0, 3, len(x))
     while len(out.rules) < most_rules and reject[left].any() and not reject[left].all():
         grow, prune = left & (part != 0), left & (part == 0)
         if reject[grow].sum() < min_cover:

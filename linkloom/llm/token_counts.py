@@ -76,7 +76,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str, normalise: Callable[[Co
     # A text goes to the encoder only if its own row was picked; rows of one digest that share id and length do so
     # together and are counted once below.
     picked = rows.join(misses, (rows["digest"] == misses["_digest"]) & (rows["_place"] == misses["_place"]), "left_semi").select("digest", "_text")
-    counted = picked.mapInArrow(count_lines(path, path.endswith(".model")), "digest binary, n_tokens long")
+    counted = picked.mapInArrow(count_lines(path, path.endswith(".model")), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(spark, cache, version)
     out = keyed.select("doc_id", F.octet_length("_text").cast("long").alias("n_bytes"), "digest").join(counts, "digest")
