@@ -40,7 +40,7 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Rounds of centres before the nodes left are joined exactly, and the hashed counters that order shingles there.
 CENTRE_ROUNDS = 1
-COUNTERS = 1 << 16
+COUNTERS = 1 << 20
 #: Rows of ids (16 bytes) that may be broadcast, counted first; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -203,10 +203,9 @@ def exact_pairs(open_: DataFrame, sets: DataFrame, threshold: float = THRESHOLD)
     n - ceil(t n) + 1, be of like size and have enough left after it. The shingles that edits made come first, so the
     many variants of one text do not meet in all pairs."""
     some = stored(sets.join(open_, "node").select("node", "comp", "elements"), "near-open-sets")
-    counted = some.select("elements").mapInArrow(_hashed_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # COUNTERS rows at most
+    counted = some.select("elements").mapInArrow(_hashed_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
     counts = np.zeros(COUNTERS, np.int64)
-    for r in counted:
-        counts[r["at"]] = r["n"]
+    counts[counted["at"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     shared = some.sparkSession.sparkContext.broadcast(counts)
 
     def prefixes(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
