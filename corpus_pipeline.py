@@ -43,8 +43,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     rows = line_dedup.numbered(docs)
-    taken = mixing.mix(rows.select(F.col("_doc").alias("doc_id"), "text", "source")).where("copies > 0")
-    taken = stored(taken.select(F.col("doc_id").alias("_taken"), "copies").distinct(), "pipeline-taken")
+    taken = mixing.mix(rows.select(F.col("_doc").alias("doc_id"), "text", "source")).groupBy(F.col("doc_id").alias("_taken")).agg(F.sum("copies").alias("copies"))
+    taken = stored(taken.where("copies > 0"), "pipeline-taken")
+    if rows.groupBy("_doc").count().where("count > 1").limit(1).count():  # whole rows that repeat: their copies are summed
+        rows = rows.dropDuplicates(["_doc"])
     out = rows.join(taken, F.col("_doc") == F.col("_taken")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return _like(out, docs)
 
