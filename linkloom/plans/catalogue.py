@@ -179,7 +179,6 @@ def rerank_blend(spark, sf):
     return decide.rerank_blend(e, ["label"]).select("label", "vec_id", "place", micro("blended"))
 
 
-@query()
 def gazetteer_ner(spark, sf):
     i = word_index(spark, sf).groupBy("alias").agg(F.min("alias_ord").alias("alias_ord")).withColumn("entity_type", F.lit("ORG"))
     return ner.gazetteer(t(spark, sf, "documents").select("doc_id", "text"), i)
@@ -566,7 +565,6 @@ def link_by_language(spark, sf):
     return per_word.join(links, "mention").groupBy("lang").agg(F.sum("n").alias("total"), F.sum(F.when(~F.col("is_nil"), F.col("n")).otherwise(0)).alias("linked"), F.sum(F.when(F.col("is_nil"), F.col("n")).otherwise(0)).alias("nil"))
 
 
-@query()
 def link_documents(spark, sf):
     """The whole plan on raw texts: gazetteer, candidates, decisions, coreference."""
     docs = t(spark, sf, "documents").select("doc_id", "text")
