@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions import text as tx
 
+#: Sizes of the grams by which similar texts meet, the first that is sure to find a text's partners.
+GRAM_SIZES = (8, 5, 2)
+#: Counters of hashed grams, 2 ** bits, and marks of keys of the lesser sizes. They decide speed, never results.
+GRAM_BITS, MARK_BITS = 20, 22
+#: Of the grams that similar texts share at least, the part that must be among the rarest.
+PREFIX_SHARE = 0.1
+
 
 def span_audit(spans: DataFrame) -> DataFrame:
     """spans(sample_id, text, mention, start, end): counts of checked, correct, out of bounds and mismatched spans, of
@@ -64,24 +75,206 @@ def length_bucket(n: Column) -> Column:
     return F.when(n < 30, "<30").when(n < 60, "30-59").when(n < 100, "60-99").otherwise(">=100")
 
 
-def similar_pairs(rows: DataFrame, id_col: str, text_col: str, at_least: float = 0.9, longest: int = 200) -> DataFrame:
-    """a, b, ratio: pairs of short texts, a before b, whose matching-block ratio reaches ``at_least``.
+def _apart(m: int) -> int:
+    """The most that lengths may differ if the greater is m."""
+    return max(6, int(m * 0.15))
+
+
+def _least_length(m: int, at_least: float) -> int:
+    """The least length of a text that may be like one of m characters, shorter than it or not."""
+    return max(1, int(np.ceil(at_least / (2 - at_least) * m - 1e-9)), m - _apart(m))
+
+
+def _shared_grams(m: int, at_least: float, k: int, blocks: float = np.inf) -> int:
+    """The least number of k-grams, counted with repeats, that a text of m characters shares with any that is like it.
+
+    With s the sum of the lengths, at least t s / 2 characters match, at most (1 - t) s do not, so there are at most
+    (1 - t) s + 1 matching blocks, each of which loses k - 1 grams. All of it grows with s.
+    """
+    s = m + _least_length(m, at_least)
+    return int(np.ceil(at_least / 2 * s - (k - 1) * min(blocks, (1 - at_least) * s + 1) - 1e-9))
+
+
+def _gram_size(m: int, at_least: float, blocks: float = np.inf) -> int:
+    """The size of grams by which texts like one of m characters are sure to be found."""
+    return next((k for k in GRAM_SIZES if _shared_grams(m, at_least, k, blocks) >= 1), 1)
+
+
+def _longest(n: int, at_least: float) -> int:
+    return max(n + 6, int(n * (2 - at_least) / at_least) + 1)
+
+
+def _gram_sizes(n: int, at_least: float) -> list[int]:
+    """The gram sizes of all texts that one of n characters may be like, the greatest first."""
+    least, longest = _gram_size(_least_length(n, at_least), at_least), _longest(n, at_least)
+    most = _gram_size(longest, at_least) if longest < 200 else GRAM_SIZES[0]
+    return [k for k in (*GRAM_SIZES, 1) if least <= k <= most]
+
+
+def _band(n: int) -> int:
+    """Texts are compared by bands of length."""
+    return int(np.log(n) / np.log(1.5))
+
+
+def _anchored_blocks(cp: np.ndarray) -> float:
+    """The most matching blocks that SequenceMatcher finds with this as second text.
+
+    From 200 characters on it starts no block at a character that makes up more than a hundredth of it, so each block
+    holds one of the other characters, except one at the very start.
+    """
+    if len(cp) < 200:
+        return np.inf
+    n = np.unique(cp, return_counts=True)[1]
+    return int(n[n <= len(cp) // 100 + 1].sum()) + 1
+
+
+def _grams(cp: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k-grams of a text's code points."""
+    h = np.full(max(0, len(cp) - k + 1), k, np.uint64)
+    for i in range(k):
+        h = (h ^ cp[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
 
-    The ratio is 2 M / (n + m), M being characters in matching blocks, so lengths lie within a factor and any match has
-    a run of M / (blocks) characters in common; blocking is by length band and a shared character 5-gram of hashed
-    minimum (several), the ratio itself is verified. Texts above ``longest`` are not compared.
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+
+
+def _told_apart(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes in order, and keys in which the first, second and further occurrences of a gram differ."""
+    h = np.sort(h)
+    at = np.arange(len(h))
+    new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    return h, ((h + nth.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+
+
+def _in_band(keys: np.ndarray, band: int) -> np.ndarray:
+    return keys ^ np.int64((band + 1) * 0x5851F42D4C957F2D % (1 << 63))
+
+
+def _counts(texts: DataFrame, slots: Callable[[str], np.ndarray], bits: int) -> np.ndarray:
+    """How often the texts have each of 2 ** bits slots; as many rows come to the driver at most."""
+
+    def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for b in it:
+            for text in b.column("t").to_pylist():
+                np.add.at(total, slots(text), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    rows = texts.select("t").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << bits, np.int64)
+    out[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return out
+
+
+def _marks(keys: np.ndarray) -> np.ndarray:
+    return keys & np.int64((1 << MARK_BITS) - 1)
+
+
+def _later_keys(text: str, at_least: float, classes: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Keys of a text's rarest grams for each band of its partners, how many of them a partner has, and the gram size."""
+    cp = _code_points(text)
+    m, blocks = len(cp), _anchored_blocks(cp)
+    k = _gram_size(m, at_least, blocks)
+    h, keys = _told_apart(_grams(cp, k))
+    share = _shared_grams(m, at_least, k, blocks)
+    need = max(1, int(share * PREFIX_SHARE))
+    first = keys[np.lexsort((keys, classes[_slots(h)]))[: max(0, len(h) - share + need)]]
+    bands = range(_band(_least_length(m, at_least)), _band(_longest(m, at_least)) + 1)
+    return np.concatenate([_in_band(first, b) for b in bands]), need, k
+
+
+def _earlier_keys(text: str, at_least: float, marked: np.ndarray) -> np.ndarray:
+    """Keys of all grams of a text; those of lesser sizes only where the key is marked."""
+    cp = _code_points(text)
+    out = []
+    for k in _gram_sizes(len(cp), at_least):
+        keys = _in_band(_told_apart(_grams(cp, k))[1], _band(len(cp)))
+        out.append(keys if k == GRAM_SIZES[0] else keys[marked[_marks(keys)]])
+    return np.concatenate(out)
+
+
+def _keyed(texts: DataFrame, keys: Callable[[str], tuple[np.ndarray, int]]) -> DataFrame:
+    """key, id, h, n, need of each key of texts(id, h, t), n being the length."""
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                held = part.column("t").to_pylist()
+                got = [keys(text) for text in held]
+                rows = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
+                n, need = np.array([len(text) for text in held], np.int32), np.array([g[1] for g in got], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[0] for g in got])), part.column("id").take(pa.array(rows)), part.column("h").take(pa.array(rows)), pa.array(n[rows]), pa.array(need[rows])], names=["key", "id", "h", "n", "need"])
+
+    return texts.mapInArrow(run, StructType([StructField("key", LongType()), texts.schema["id"], StructField("h", LongType()), StructField("n", IntegerType()), StructField("need", IntegerType())]))
+
+
+def similar_pairs(rows: DataFrame, id_col: str, text_col: str, at_least: float = 0.9) -> DataFrame:
+    """a, b, ratio: pairs of texts, a before b, whose matching-block ratio reaches ``at_least``.
+
+    The ratio is 2 M / (n + m), M being characters in matching blocks; lengths differ by at most 15 % of the greater, or
+    6. Each distinct text takes part once, under its least id, whatever its length; a copy is one row of ratio 1 with
+    that id, so a group of copies is not expanded into all pairs. Null ids, null and empty texts take no part; an id
+    with several texts may be paired with itself.
+
+    Exact: from the threshold follows how many grams two such texts share at least, so the rarest grams of the later
+    one, all but so many, must hold enough of the earlier one's; what meets that is verified.
     """
-    t = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where((F.length("t") <= longest) & (F.length("t") > 0))
-    grams = t.select("i", "t", F.explode(F.slice(F.array_sort(F.transform(tx.ngrams(F.col("t"), 5), lambda g: F.xxhash64(g))), 1, 24)).alias("k"))
-    a, b = grams.select(F.col("i").alias("a"), F.col("t").alias("ta"), "k"), grams.select(F.col("i").alias("b"), F.col("t").alias("tb"), "k")
-    bound = at_least / (2 - at_least)
-    pairs = a.join(b, "k").where((F.col("a") < F.col("b")) & (F.length("ta") >= bound * F.length("tb")) & (F.length("tb") >= bound * F.length("ta"))).select("a", "b", "ta", "tb").distinct()
+    t = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id is not null and length(t) > 0")
+    firsts = t.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("_n"))
+    copies = t.join(firsts.where("_n > 1").select(F.col("t").alias("_t"), F.col("id").alias("a")), F.col("t") == F.col("_t"))
+    # the row that gives the group its id is not its own copy; a row that repeats id and text is
+    rank = F.row_number().over(Window.partitionBy("t").orderBy("id"))
+    copies = copies.withColumn("_r", rank).where("_r > 1").select("a", F.col("id").alias("b"), F.lit(1.0).alias("ratio"))
+
+    texts = firsts.select("id", F.xxhash64("t").alias("h"), "t")
+    held = texts.sparkSession.sparkContext.broadcast
+
+    def usual(text: str) -> np.ndarray:
+        cp = _code_points(text)
+        return _slots(_grams(cp, _gram_size(len(cp), at_least, _anchored_blocks(cp))))
+
+    classes = held(np.log2(_counts(texts, usual, GRAM_BITS) + 1))
+
+    def lesser(text: str) -> np.ndarray:
+        keys, _, k = _later_keys(text, at_least, classes.value)
+        return _marks(keys if k < GRAM_SIZES[0] else keys[:0])
+
+    marked = held(_counts(texts, lesser, MARK_BITS) > 0)
+    x = _keyed(texts, lambda text: (_earlier_keys(text, at_least, marked.value), 0)).select("key", F.col("id").alias("a"), F.col("h").alias("ha"), F.col("n").alias("na"))
+    y = _keyed(texts, lambda text: _later_keys(text, at_least, classes.value)[:2]).select("key", F.col("id").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb"), "need")
+    longer, shorter = F.greatest("na", "nb"), F.least("na", "nb")
+    close = (longer - shorter <= F.greatest(F.lit(6), F.floor(longer * F.lit(0.15)))) & (shorter >= F.lit(at_least / (2 - at_least)) * longer - 1e-9)
+    before = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("ha") < F.col("hb")))
+    pairs = x.join(y, "key").where(before & close).groupBy("a", "ha", "b", "hb").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("a", "ha", "b", "hb")
+    left, right = (texts.select(F.col("id").alias(i), F.col("h").alias(h), F.col("t").alias(c)) for i, h, c in (("a", "ha", "ta"), ("b", "hb", "tb")))
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
+        return pd.Series([_ratio(p, q, at_least) for p, q in zip(x, y, strict=True)], dtype=float)
+
+    found = pairs.join(left, ["a", "ha"]).join(right, ["b", "hb"]).select("a", "b", ratio("ta", "tb").alias("ratio")).where(F.col("ratio") >= at_least)
+    return copies.union(found)
+
 
-    return pairs.select("a", "b", ratio("ta", "tb").alias("ratio")).where(F.col("ratio") >= at_least)
+def _ratio(p: str, q: str, at_least: float) -> float:
+    """SequenceMatcher's ratio, or 0 where the grams of both say that it is below ``at_least``."""
+    x, y = _code_points(p), _code_points(q)
+    blocks, s = _anchored_blocks(y), len(x) + len(y)
+    k = _gram_size(len(y), at_least, blocks)
+    both = len(np.intersect1d(_told_apart(_grams(x, k))[1], _told_apart(_grams(y, k))[1], assume_unique=True))
+    if both < at_least / 2 * s - (k - 1) * min(blocks, (1 - at_least) * s + 1) - 1e-9:
+        return 0.0
+    return SequenceMatcher(None, p, q).ratio()
 
 
 def histogram(rows: DataFrame, column: Column, name: str = "bucket") -> DataFrame:
