@@ -159,7 +159,7 @@ def _in_band(keys: np.ndarray, band: int) -> np.ndarray:
 
 
 def _counts(texts: DataFrame, slots: Callable[[str], np.ndarray], bits: int) -> np.ndarray:
-    """How often the texts have each of 2 ** bits slots; as many rows come to the driver at most."""
+    """Log counts of 2 ** bits slots over all texts; as many rows of six bytes come to the driver at most."""
 
     def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
@@ -167,11 +167,12 @@ def _counts(texts: DataFrame, slots: Callable[[str], np.ndarray], bits: int) ->
             for text in b.column("t").to_pylist():
                 np.add.at(total, slots(text), 1)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
 
-    rows = texts.select("t").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << bits, np.int64)
-    out[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    sums = texts.select("t").mapInArrow(count, "at int, n long").groupBy("at").agg(F.floor(16 * F.log2(F.sum("n") + 1)).cast("smallint").alias("n"))
+    got = sums.toArrow()
+    out = np.zeros(1 << bits, np.int16)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
@@ -243,7 +244,7 @@ def similar_pairs(rows: DataFrame, id_col: str, text_col: str, at_least: float =
         cp = _code_points(text)
         return _slots(_grams(cp, _gram_size(len(cp), at_least, _anchored_blocks(cp))))
 
-    classes = held(np.log2(_counts(texts, usual, GRAM_BITS) + 1))
+    classes = held(_counts(texts, usual, GRAM_BITS))
 
     def lesser(text: str) -> np.ndarray:
         keys, _, k = _later_keys(text, at_least, classes.value)

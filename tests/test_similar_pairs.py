@@ -49,3 +49,9 @@ def test_texts_of_every_length_as_brute_force(spark):
     want = brute(rows)
     assert sum(len(dict(rows)[a]) > 200 for a, b, _ in want) > 20 and sum(len(dict(rows)[a]) < 60 for a, b, _ in want) > 20
     assert found(spark, rows) == want
+
+
+def test_copies_are_one_row_each_and_short_texts_take_part(spark):
+    long = "some words that go on " * 30
+    rows = [(1, "ok"), (2, "ok"), (3, long), (4, long), (5, long), (6, None), (7, ""), (None, long), (8, "abcdefgh"), (9, "abcdXefgh"), (10, "x"), (11, "y")]
+    assert [(a, b) for a, b, _ in found(spark, rows)] == [(1, 2), (3, 4), (3, 5), (8, 9)]
