@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, fraction_of
+from .common import batches_of
 
 #: Documents of each language that the model learns from at most (about).
 MAX_DOCS_PER_LANGUAGE = 1500
@@ -98,15 +98,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, per_language: int = MAX_DOCS_PER_LANGUAGE, most_languages: int = 500) -> Mixture:
-    """Trigram models of the languages in docs(text, lang); rows with a null in either are passed over."""
-    known = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang")).where("_text is not null and _lang is not null")
-    sizes = {r["_lang"]: r["n"] for r in known.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(most_languages).collect()}
-    if not sizes:
-        return Mixture([], np.zeros((BUCKETS, 0)))
-    keep = F.lit(False)
-    for lang, n in sorted(sizes.items()):
-        keep = keep | ((F.col("_lang") == lang) & fraction_of(F.coalesce(F.col("_id").cast("string"), F.lit("")), 1.0 if n <= per_language else per_language / n))
+def learn(docs: DataFrame, per_language: int = MAX_DOCS_PER_LANGUAGE) -> Mixture:
+    """Trigram models of all languages in docs(doc_id, text, lang); rows with a null in text or lang are passed over.
+
+    A language of more rows than ``per_language`` is sampled by a hash of id and text, of which the least is always
+    taken; rows equal in both are taken or left together.
+    """
+    known = docs.select(F.col("text").alias("_text"), F.col("lang").alias("_lang"), F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)).alias("_at")).where("_text is not null and _lang is not null")
+    sizes = known.groupBy("_lang").agg(F.count("*").alias("n"), F.min("_at").alias("least"))
+    limits = sizes.select(F.col("_lang").alias("_of"), F.greatest("least", F.floor(F.least(F.lit(1.0), F.lit(per_language) / F.col("n")) * F.lit(1 << 30)) - 1).alias("_limit"))
 
     def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -118,7 +118,7 @@ def learn(docs: DataFrame, per_language: int = MAX_DOCS_PER_LANGUAGE, most_langu
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "gram", "n"])
 
-    seen = known.where(keep).select("_lang", "_text").mapInArrow(count, "lang string, gram long, n long")
+    seen = known.join(F.broadcast(limits), (F.col("_lang") == F.col("_of")) & (F.col("_at") <= F.col("_limit"))).select("_lang", "_text").mapInArrow(count, "lang string, gram long, n long")
     rows = seen.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
     languages = sorted(rows["lang"].unique()) if len(rows) else []
     counts = np.zeros((BUCKETS, len(languages)))

@@ -109,6 +109,15 @@ def test_language_mixture(spark, odd):
     assert all(x["h"] == (zlib.crc32(str(x["id"]).encode()) % 5 == 0) for x in ids)
 
 
+def test_every_language_is_learned(spark):
+    many = docs(spark, [(i, f"text of {i}", f"l{i:03}", "a") for i in range(505)])
+    assert language_id.learn(many).languages == [f"l{i:03}" for i in range(505)]
+    one_id = docs(spark, [(i if i else None, f"text {i} {k}", f"l{i}", "a") for i in range(10) for k in range(60)])
+    assert language_id.learn(one_id, per_language=20).languages == [f"l{i}" for i in range(10)]
+    same = docs(spark, [(1, "the same text", f"l{i}", "a") for i in range(10) for _ in range(60)])
+    assert language_id.learn(same, per_language=20).languages == [f"l{i}" for i in range(10)]
+
+
 def removed_lines(rows, t=0.8):
     seen, gone = [], set()
     for i, text in sorted(rows):
