@@ -19,8 +19,10 @@ def _like(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found (``und``) go."""
+    """Documents in which no language is found (``und``) go; if none was learned, those without a letter."""
     model = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
+    if not model.languages:
+        return _like(language_id.with_letter(docs), docs)
     return _like(language_id.predict(docs, model).where("lang_pred <> 'und'"), docs)
 
 

@@ -128,6 +128,16 @@ def learn(docs: DataFrame, per_language: int = MAX_DOCS_PER_LANGUAGE) -> Mixture
     return Mixture(languages, np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS)))
 
 
+def with_letter(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text has a letter."""
+
+    def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(it):
+            yield b.filter(pa.array([bool(t) and has_letter(t) for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: Mixture) -> DataFrame:
     """docs with lang_pred, score and languages put after its own columns (which must not have these names)."""
     from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType

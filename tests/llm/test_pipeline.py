@@ -23,3 +23,10 @@ def test_stages_and_their_effects(spark):
     assert len(five) == len(rows) and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(five[0].asDict())
     for _, stage in cp.STAGES[:4]:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_documents_stay_when_no_language_is_labelled(spark):
+    rows = [(1, "some words", None), (2, None, None), (3, "12 34", None), (4, "", None), (5, "\u4e2d\u6587", None), (None, "more words", None)]
+    docs = spark.createDataFrame([(i, t, la, "a", 1) for i, t, la in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.language(spark, docs, "")
+    assert got.columns == docs.columns and {x["doc_id"] for x in got.collect()} == {1, 5, None}
