@@ -6,6 +6,9 @@ doc_id and text, so null and repeated ids lose nothing.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +17,26 @@ from linkloom.llm.common import documents, stored
 from linkloom.llm.queries import tokenizer
 
 
+#: Columns that a stage reads; what else documents have is renamed meanwhile, so that no name of a stage meets it.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
 def _like(out: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def _whatever_columns(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in COLUMNS else f"_c{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).toDF(*docs.columns)
+
+    return run
+
+
+@_whatever_columns
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is found (``und``) go; if none was learned, those without a letter."""
     model = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
@@ -26,11 +45,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _like(language_id.predict(docs, model).where("lang_pred <> 'und'"), docs)
 
 
+@_whatever_columns
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line matches go; documents stay."""
     return _like(line_dedup.dedup(docs), docs)
 
 
+@_whatever_columns
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class stays."""
     rows = line_dedup.numbered(docs)
@@ -42,6 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _like(kept, docs)
 
 
+@_whatever_columns
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     rows = line_dedup.numbered(docs)
@@ -60,7 +82,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("line dedup", lines), ("near-duplicates", near_duplicates), ("mixing", mixed), ("BPE", tokens)]
 
-#: No SQL expresses the stages; they are tested against brute force.
+#: No SQL expresses the stages; run() is tested against a brute-force version of all five.
 ORACLE_SQL = None
 
 

@@ -74,6 +74,17 @@ def batches_of(it: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def free_names(taken: list[str], wanted: list[str]) -> list[str]:
+    """The wanted names, each with underscores put after it until no column of ``taken`` has it in any case."""
+    out, held = [], {c.lower() for c in taken}
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fraction_of(key, share: float):
     """A condition that keeps about ``share`` of the rows, by a hash of key; the same rows each time."""
     return F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))

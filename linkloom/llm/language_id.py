@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of
+from .common import batches_of, free_names
 
 #: Documents of each language that the model learns from at most (about).
 MAX_DOCS_PER_LANGUAGE = 1500
@@ -139,7 +139,7 @@ def with_letter(docs: DataFrame) -> DataFrame:
 
 
 def predict(docs: DataFrame, model: Mixture) -> DataFrame:
-    """docs with lang_pred, score and languages put after its own columns (which must not have these names)."""
+    """docs with lang_pred, score and languages put after its own columns; where docs has such a name, the new one gets an underscore."""
     from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
     names = docs.columns
@@ -154,4 +154,4 @@ def predict(docs: DataFrame, model: Mixture) -> DataFrame:
             got = [m.infer(t) for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.string()))], names=[*b.schema.names, "lang_pred", "score", "languages"])
 
-    return inner.mapInArrow(run, schema).toDF(*names, "lang_pred", "score", "languages")
+    return inner.mapInArrow(run, schema).toDF(*names, *free_names(names, ["lang_pred", "score", "languages"]))
