@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,6 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_CHARS = 1 << 21
 
 
+#: Rows of text in an Arrow batch between Spark and its Python workers, so that a worker's memory stays small, and rows
+#: that a worker takes at once.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH = 4000
+SMALL_BATCHES = {ARROW_ROWS: str(BATCH)}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -39,16 +46,48 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/linkloom-{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Session settings for the jobs that are run inside; what was there before comes back."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and lost executors cost nothing."""
+    """Write df to the shared folder and read it back: lineage ends here and lost executors cost nothing.
+
+    The job's shuffle files go when it has ended; ``discard`` deletes the table.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files of what is written go when the driver collects its garbage
-    return spark.read.schema(schema).parquet(path)
+    with settings(spark, **SMALL_BATCHES, **{"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no plan reads any more."""
+    for t in tables:
+        remove_path(t.sparkSession, t._stored_at)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast if a count shows that it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:

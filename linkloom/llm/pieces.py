@@ -12,12 +12,13 @@ import gc
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .common import chunks
@@ -27,9 +28,15 @@ WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0
 PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Fixed value: how byte-level BPE splits text into words.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Before a piece that stands for itself. Where single blanks and single line ends are all white space of a text, a split
+#: at blanks gives its other pieces: ``w`` stands for a blank and w, ``\\nw`` for a line end and w.
 PLAIN = chr(0)
+#: Marks that end a piece and are a word of their own after letters.
+MARKS = frozenset(",.;:!?")
+#: Characters of texts that are split together, and words that go through the model together.
+CHUNK, WORDS_AT_ONCE = 1 << 23, 8192
 #: Pieces that a generation of a worker's memo holds, and the longest that it does.
-MEMO, LONGEST = 400_000, 48
+MEMO, LONGEST = 500_000, 48
 
 
 def byte_letters() -> dict[int, str]:
@@ -60,6 +67,7 @@ class PieceEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -74,7 +82,15 @@ class PieceEncoder:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         if self.by_piece:
-            self.model = Tokenizer(self.tokenizer.model)
+            model = self.tokenizer.model
+            if hasattr(model, "_resize_cache"):
+                model._resize_cache(0)  # the memo is the cache
+            self.model = Tokenizer(model)
+            self.model.pre_tokenizer = WhitespaceSplit()
+            self.blank = byte_letters()[0x20]
+            vocab = told["model"]["vocab"]
+            self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)  # letters of each entry
+            self.lengths[list(vocab.values())] = [len(w) for w in vocab]
             self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
             self.line_ids = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -84,29 +100,30 @@ class PieceEncoder:
             return [p for i, part in enumerate(self.split.split(text)) if part for p in ([part] if i % 2 else PIECE.findall(part))]
         return PIECE.findall(text)
 
-    def keys(self, text: str) -> list[str]:
-        """Keys of a text's pieces. Where single blanks and single line ends are all its white space, a split at blanks
-        gives them: ``w`` stands for a blank and w, ``\\nw`` for a line end and w. Other pieces have ``PLAIN`` before."""
-        if single_blanks(text) and (self.split is None or not any(s in text for s in self.special)):
-            found = text.replace("\n", " \n").split(" ")
-            found[0] = PLAIN + found[0]
-            return found
-        return [PLAIN + p for p in self.pieces(text)]
-
     def learn(self, new: list[str]) -> dict[str, bytes]:
         """The ids of pieces: their words, told apart as the file's own pre-tokenizer does, go through its model at once."""
-        split = {p: [p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else SPLIT.findall(p) for p in new if p not in self.special}
+        special = self.special
+        split = {p: [p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else SPLIT.findall(p) for p in new if p not in special}
         known = {w: got for w in set(chain.from_iterable(split.values())) if w[:1] == " " and (got := self.memo.get(w[1:])) is not None}
-        words = sorted({w for ws in split.values() for w in ws if w not in known})
+        words = list({w for ws in split.values() for w in ws if w not in known})
         known |= zip(words, self.encode_words(words), strict=True)
         got = {p: known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws)) for p, ws in split.items()}
-        return got | {p: np.array([self.special[p]], "<u4").tobytes() for p in new if p in self.special}
+        return got | {p: np.array([special[p]], "<u4").tobytes() for p in new if p in special}
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words in sorted order, by the library."""
-        letters = self.letters
-        mapped = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters) for w in words]
-        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(mapped, add_special_tokens=False)] if words else []
+        """The ids of distinct words by the library: many words, in the vocabulary's letters and parted by blanks, go
+        through its model as one text that is split at the blanks."""
+        letters, out = self.letters, []
+        for a in range(0, len(words), WORDS_AT_ONCE):
+            some = words[a : a + WORDS_AT_ONCE]
+            mapped = [self.blank + w[1:] if w[0] == " " and w[1:].isalpha() and w.isascii() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters) for w in some]
+            ids = np.array(self.model.encode_batch_fast([" ".join(mapped)], add_special_tokens=False)[0].ids, "<u4")
+            done, ends = np.cumsum(self.lengths[ids]), np.cumsum([len(w) for w in mapped])
+            if not len(ids) or done[-1] != ends[-1]:
+                raise ValueError("the vocabulary lacks a byte")
+            raw, cuts = ids.tobytes(), [0, *(4 * np.searchsorted(done, ends) + 4).tolist()]
+            out += [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        return out
 
     def resolve(self, keys: list[str]) -> dict[str, bytes]:
         """The ids that keys stand for."""
@@ -115,37 +132,73 @@ class PieceEncoder:
         got[""] = b""
         return {k: self.line_ids + got[p] if k[:1] == "\n" else got[p] for k, p in text.items()}
 
+    def ids_of(self, keys: list[str]) -> list[bytes]:
+        """The ids of distinct keys, through the memo; long keys are not kept there."""
+        if len(self.memo) > MEMO:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        new = [k for k in keys if k not in memo]
+        if old:
+            memo.update({k: old[k] for k in new if k in old})
+            new = [k for k in new if k not in memo]
+        letters = [k for k in new if k.isalpha() and len(k) <= LONGEST]
+        marked = [k for k in new if k[-1:] in MARKS and k[:-1].isalpha() and len(k) <= LONGEST]
+        letters += {k[:-1] for k in marked}.difference(memo, letters)
+        memo.update(zip(letters, self.encode_words([" " + k for k in letters]), strict=True))
+        marks = {m: self.learn([m])[m] for m in {k[-1] for k in marked}}
+        memo.update({k: memo[k[:-1]] + marks[k[-1]] for k in marked})
+        new = [k for k in new if k not in memo]
+        long = self.resolve([k for k in new if len(k) > LONGEST])
+        memo.update(self.resolve([k for k in new if len(k) <= LONGEST]))
+        if long:
+            return [long[k] if k in long else memo[k] for k in keys]
+        return list(map(memo.__getitem__, keys))
+
+    def split_keys(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct keys of texts, for each key in turn its place among them, and where each text's keys end."""
+        odd = [i for i, t in enumerate(texts) if not single_blanks(t) or (self.split is not None and any(s in t for s in self.special))]
+        at_odd = set(odd)
+        plain = pa.array([PLAIN + t.replace("\n", " \n") for i, t in enumerate(texts) if i not in at_odd], pa.large_string())
+        parts = pc.split_pattern(plain, " ")
+        words = parts.flatten().dictionary_encode()
+        distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+        ends = np.asarray(parts.offsets)[1:].astype(np.int64) - int(parts.offsets[0].as_py())
+        if not odd:
+            return distinct, codes, ends
+        place = {k: i for i, k in enumerate(distinct)}
+        own = {i: np.array([place.setdefault(PLAIN + p, len(place)) for p in self.pieces(texts[i])], codes.dtype) for i in odd}
+        runs, starts, k = [], np.concatenate(([0], ends)), 0
+        for i in range(len(texts)):
+            if i in at_odd:
+                runs.append(own[i])
+            else:
+                runs.append(codes[starts[k] : starts[k + 1]])
+                k += 1
+        return list(place), np.concatenate(runs), np.cumsum([len(r) for r in runs])
+
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text in turn; memory holds the pieces of a chunk of texts and two generations of the memo."""
+        """The ids of each text in turn; memory holds the pieces of a chunk of texts and two generations of the memo.
+
+        Arrow splits a chunk and finds its distinct pieces, these are looked up or encoded, and numpy puts their ids
+        in the places of the pieces."""
         gc.disable()  # dictionaries of strings hold no cycles, and each pass over them would cost as much as the encoding
-        for _, some in chunks(texts):
+        for _, some in chunks(texts, CHUNK):
             if not self.by_piece:
                 for e in self.tokenizer.encode_batch(some, add_special_tokens=False):
                     yield np.array(e.ids, "<u4").tobytes()
                 continue
-            split = [self.keys(t) for t in some]
-            if len(self.memo) > MEMO:
-                self.old, self.memo = self.memo, {}
-            new = set(chain.from_iterable(split)).difference(self.memo)
-            kept = new & self.old.keys()
-            self.memo.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
-            new -= kept
-            long = self.resolve([k for k in new if len(k) > LONGEST])
-            self.memo.update(self.resolve([k for k in new if len(k) <= LONGEST]))
-            get = (_Both(self.memo, long) if long else self.memo).__getitem__
-            for keys in split:
-                yield b"".join(map(get, keys))
-
-
-class _Both(dict):
-    """long pieces, and the memo for all others."""
-
-    def __init__(self, memo: dict, long: dict):
-        super().__init__(long)
-        self.rest = memo
-
-    def __missing__(self, key: str) -> bytes:
-        return self.rest[key]
+            distinct, codes, ends = self.split_keys(some)
+            ids = self.ids_of(distinct)
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+            of = sizes[codes]
+            upto = np.concatenate(([0], np.cumsum(of)))
+            kind = np.int32 if max(len(flat), upto[-1]) < 1 << 31 else np.int64
+            at = np.repeat(((np.cumsum(sizes) - sizes)[codes] - upto[:-1]).astype(kind), of)
+            at += np.arange(len(at), dtype=kind)
+            whole, cuts = flat[at], upto[np.concatenate(([0], ends))].tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield whole[a:b].tobytes()
 
 
 def encoder(path: str, kind: type = PieceEncoder):

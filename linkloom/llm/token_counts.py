@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, shared_path, strings
+from .common import BATCH, batches_of, shared_path, strings
 from .pieces import encoder, file_digest
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
@@ -54,7 +54,7 @@ def count_lines(path: str, is_model: bool) -> Callable[[Iterable[pa.RecordBatch]
         else:
             e = encoder(path)
             count = lambda texts: [len(x) // 4 for x in e.encode_many(texts)]
-        for b in batches_of(it, 500):
+        for b in batches_of(it, BATCH):
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(count(strings(b.column("_text"))), pa.int64())], names=["digest", "n_tokens"])
 
     return run

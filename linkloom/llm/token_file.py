@@ -17,8 +17,9 @@ each other, so all decode in parallel.
 A part is what one task wrote. If the partitions of the scan already hold
 disjoint ranges of doc_id they become the parts; else rows are range-partitioned
 first. Defined cases: null text has the end id only; null doc_ids come first and
-read back as null; equal ids stand next to each other; an empty table gives a
-file set without blocks.
+read back as null; equal ids stand next to each other, in no defined order; texts
+of any length are taken whole; an empty table gives a file set without blocks;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, shared_path, strings
+from .common import ARROW_ROWS, BATCH, SMALL_BATCHES, batches_of, remove_path, settings, shared_path, strings
 from .pieces import encoder
 
 SCALE = 20
 LOW = 1 << 31
-LANES, INTERVAL = 1024, 256
+LANES, INTERVAL = 4096, 128
 #: A block closes with the document that brings it to so many tokens.
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 20
 NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<4s6IQ")
 
@@ -186,7 +187,7 @@ def _stage(path: str, end_id: int):
             ids.clear()
             return pa.RecordBatch.from_pydict(row, schema=_STAGE)
 
-        for b in batches_of(it, 500):
+        for b in batches_of(it, BATCH):
             for doc_id, got in zip(b.column("doc_id").to_pylist(), enc.encode_many(strings(b.column("text"))), strict=True):
                 held.append(got + end)
                 ids.append(NO_ID if doc_id is None else doc_id)
@@ -212,7 +213,8 @@ def _overlaps(ranges: DataFrame) -> bool:
 def _counts(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for b in it:
-        for width, raw in zip(b.column("width").to_pylist(), b.column("ids").to_pylist(), strict=True):
+        for width, raw in zip(b.column("width").to_pylist(), b.column("ids"), strict=True):
+            raw = raw.as_buffer()
             got = np.bincount(np.frombuffer(raw, f"<u{width}"), minlength=len(total))
             got[: len(total)] += total
             total = got
@@ -230,7 +232,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0) ->
     for ranged in [False, True] if in_order else [True]:
         dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first()) if ranged else rows
         staged = shared_path(spark, "tokens-staged")
-        dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(_stage(tokenizer, end_id), _STAGE_DDL).write.option("compression", "zstd").parquet(staged)
+        with settings(spark, **SMALL_BATCHES):
+            dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(_stage(tokenizer, end_id), _STAGE_DDL).write.option("compression", "snappy").parquet(staged)
         stage = spark.read.schema(_STAGE_DDL).parquet(staged)
         if ranged or not _overlaps(stage.groupBy("part").agg(F.min("first_id").alias("low"), F.max("last_id").alias("high"))):
             break
@@ -243,13 +246,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0) ->
 
     def code(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
-        for b in it:
+        for b in batches_of(it, 1):  # a block at a time
             for r in b.to_pylist():
                 whole = np.frombuffer(r["ids"], f"<u{r['width']}")
                 payload = pack(coder, r["part"], r["block"], r["start"], np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["lens"], "<u4"), whole)
                 yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int32()), pa.array([r["block"]], pa.int32()), pa.array([r["first_id"]], pa.int64()), pa.array([r["n_tokens"]], pa.int64()), pa.array([payload], pa.binary())], names=["part", "block", "first_id", "n_tokens", "payload"])
 
-    stage.mapInArrow(code, "part int, block int, first_id long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{out}/blocks")
+    with settings(spark, **{ARROW_ROWS: "16"}):  # rows are blocks
+        stage.mapInArrow(code, "part int, block int, first_id long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{out}/blocks")
+    remove_path(spark, staged)
     spark.createDataFrame(counts.assign(freq=freq[counts["token"].to_numpy(np.int64)].astype(np.int64))[["token", "freq"]], "token long, freq long").coalesce(1).write.parquet(f"{out}/model")
     return out
 
@@ -264,7 +269,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
     def decode(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
-        for b in it:
+        for b in batches_of(it, 1):
             for payload in b.column("payload").to_pylist():
                 part, start, doc_ids, lens, ids = unpack(coder, payload)
                 raw = ids.astype("<u4").tobytes()

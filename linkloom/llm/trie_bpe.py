@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, strings
+from .common import BATCH, batches_of, strings
 from .pieces import PieceEncoder, byte_letters, encoder
 
 class TrieBPE(PieceEncoder):
@@ -139,7 +139,7 @@ def encode(docs: DataFrame, tokenizer: str, with_ids: bool = False, with_text: b
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer, TrieBPE)
-        for b in batches_of(it, 500):
+        for b in batches_of(it, BATCH):
             n, a, z, ids, decoded = [], [], [], [], []
             for got in bpe.encode_many(strings(b.column("_text"))):
                 text = bpe.decode(got)
