@@ -46,6 +46,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/linkloom-{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH rows from here on, for plans that Python workers read texts in and that
+    run after the operator has returned."""
+    if int(spark.conf.get(ARROW_ROWS)) > BATCH:
+        spark.conf.set(ARROW_ROWS, str(BATCH))
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
     """Session settings for the jobs that are run inside; what was there before comes back."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,13 +32,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and comp, the least node of its component, for every node of edges(a, b) but the least ones themselves.
 
-    Each round halves the depth of what is not yet a star; every round is written to the shared folder.
+    Each round halves the depth of what is not yet a star; every round is written to the shared folder,
+    where ``discard`` finds the last one.
     """
     now = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
     mark = _mark(now)
     while mark[0]:
-        now = stored(_star(_star(now, True), False), "cc-round")
+        last, now = now, stored(_star(_star(now, True), False), "cc-round")
+        discard(last)
         before, mark = mark, _mark(now)
         if mark == before:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    out._stored_at = now._stored_at
+    return out

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, free_names
+from .common import batches_of, free_names, small_batches
 
 #: Documents of each language that the model learns from at most (about).
 MAX_DOCS_PER_LANGUAGE = 1500
@@ -130,6 +130,7 @@ def learn(docs: DataFrame, per_language: int = MAX_DOCS_PER_LANGUAGE) -> Mixture
 
 def with_letter(docs: DataFrame) -> DataFrame:
     """The rows of docs whose text has a letter."""
+    small_batches(docs.sparkSession)
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it):
@@ -142,6 +143,7 @@ def predict(docs: DataFrame, model: Mixture) -> DataFrame:
     """docs with lang_pred, score and languages put after its own columns; where docs has such a name, the new one gets an underscore."""
     from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
+    small_batches(docs.sparkSession)
     names = docs.columns
     inner = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     text = f"_c{names.index('text')}"

@@ -6,20 +6,22 @@ density 1 that a hash of the element seeds, region by region; those under the
 element's weight hit. Each dart has a coordinate of the signature, and the
 earliest hit of a coordinate is its value: two sets agree there with a
 probability that is their weighted Jaccard similarity. Regions are thrown in
-order of rank until every coordinate has a hit, so a text needs about
-k ln k darts however long it is.
+order of rank until every coordinate has a hit: about k ln k darts, or a quarter
+of a dart for each shingle where that is more.
 
 ``BANDS`` bands of ``ROWS`` values name buckets; at similarity 0.8 a pair shares
 none of them with probability below 3e-5. Texts with the same set of shingles
-are one node, so copies cost nothing. In each bucket nodes are compared with one
-centre, never in all pairs; buckets that still hold more than one component get
-another centre, and the nodes of those left are joined exactly by prefix,
-positional and length filters. Every link is verified on the whole shingle sets.
+are one node, so copies cost nothing. Nodes are compared with one centre of their
+buckets, never in all pairs; the nodes of buckets that still hold more than one
+component are joined exactly by prefix, positional and length filters. Every link
+is verified on the whole shingle sets.
 
 Defined cases: words are runs outside ASCII white space; a text of one to four
 words is one shingle; null, empty and blank texts are classes of their own; a
 node is a 64-bit digest of the set. Repeated rows give repeated rows; the class
-id is the least doc_id of the class (null if it has none).
+id is the least doc_id of the class (null if it has none). Texts of any length
+are taken whole; other columns of docs, whatever their names, are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,14 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, stored
+from .common import batches_of, discard, small, stored
 from .components import components
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
-#: Rounds of centres before the nodes left are joined exactly, and the hashed counters that order shingles there.
-CENTRE_ROUNDS = 1
-COUNTERS = 1 << 20
 #: Rows of ids (16 bytes) that may be broadcast, counted first; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -166,14 +165,9 @@ def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, elements array<long>")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, broadcast if a count shows that it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs(a, b) whose sets have at least this Jaccard similarity."""
-    left = _small(pairs).join(sets.select(F.col("node").alias("a"), F.col("elements").alias("_x")), "a")
+    left = small(pairs, BROADCAST_ROWS).join(sets.select(F.col("node").alias("a"), F.col("elements").alias("_x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("_y")), "b")
     near = F.size("_x") >= threshold * F.size("_y") - 1e-9
     near = near & (F.size("_y") >= threshold * F.size("_x") - 1e-9)
@@ -181,76 +175,63 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return both.where(near).where(common >= threshold * (F.size("_x") + F.size("_y") - common) - 1e-9).select("a", "b").distinct()
 
 
-def _with_comp(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """members(bucket, node) of the buckets that hold more than one component, with comp."""
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """node and comp of the nodes in buckets of members(bucket, node) that hold more than one component."""
     c = comps.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
     m = members.join(c, F.col("node") == F.col("_n"), "left").select("bucket", "node", F.coalesce("_c", "node").alias("comp"))
     open_ = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("_b"))
-    return stored(m.join(open_, F.col("bucket") == F.col("_b"), "left_semi"), "near-open")
-
-
-def _hashed_counts(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
-    for b in it:
-        total += np.bincount(b.column("elements").flatten().to_numpy(zero_copy_only=False) & (COUNTERS - 1), minlength=COUNTERS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+    return m.join(open_, F.col("bucket") == F.col("_b"), "left_semi").select("node", "comp").distinct()
 
 
 def exact_pairs(open_: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b) of nodes of different components in open_(node, comp) that may reach the threshold, by an exact prefix
-    join: shingles are ordered by rarity (hashed counts over these nodes), a pair must share one of the first
+    join: shingles are ordered by rarity (counts over these nodes), a pair must share one of the first
     n - ceil(t n) + 1, be of like size and have enough left after it. The shingles that edits made come first, so the
-    many variants of one text do not meet in all pairs."""
-    some = stored(sets.join(open_, "node").select("node", "comp", "elements"), "near-open-sets")
-    counted = some.select("elements").mapInArrow(_hashed_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
-    counts = np.zeros(COUNTERS, np.int64)
-    counts[counted["at"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    shared = some.sparkSession.sparkContext.broadcast(counts)
-
-    def prefixes(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            got, sizes = [], []
-            for e in b.column("elements"):
-                x = e.values.to_numpy(zero_copy_only=False)
-                n = len(x)
-                keep = n - int(np.ceil(threshold * n - 1e-9)) + 1
-                got.append(x[np.lexsort((x, shared.value[x & (COUNTERS - 1)]))[:keep]])
-                sizes.append(n)
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("comp"), pa.array(sizes, pa.int32()), pa.array(got, pa.list_(pa.int64()))], names=["node", "comp", "n", "pre"])
-
-    rows = some.mapInArrow(prefixes, "node long, comp long, n int, pre array<long>").select("node", "comp", "n", F.posexplode("pre").alias("i", "token"))
+    many variants of one text do not meet in all pairs; those of one node only are counted but meet nobody."""
+    some = stored(sets.join(small(open_, BROADCAST_ROWS), "node").select("node", "comp", "elements"), "near-open-sets")
+    each = some.select("node", F.explode("elements").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("token", "_t")
+    shared = each.join(often, F.col("token") == F.col("_t")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("s")).withColumnRenamed("node", "_n")  # a list is a part of one text's shingles
+    n = F.size("elements")
+    rows = some.select("node", "comp", n.alias("n"), (n - F.ceil(threshold * n - F.lit(1e-9)) + 1).alias("keep")).join(shared, F.col("node") == F.col("_n"))
+    before = F.col("n") - F.size("s")  # shingles of this node alone
+    rows = rows.select("node", "comp", "n", before.alias("before"), F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("keep") - before).cast("int")).alias("pre"))
+    rows = rows.select("node", "comp", "n", "before", F.posexplode("pre").alias("i", "of")).select("node", "comp", "n", (F.col("before") + F.col("i")).alias("i"), F.col("of.token").alias("token"))
     x, y = rows.alias("x"), rows.alias("y")
     c = F.col
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (c("x.n") + c("y.n")) - F.lit(1e-9))
     fits = (c("x.n") >= threshold * c("y.n") - 1e-9) & (c("y.n") >= threshold * c("x.n") - 1e-9) & (1 + F.least(c("x.n") - c("x.i") - 1, c("y.n") - c("y.i") - 1) >= need)
     found = x.join(y, (c("x.token") == c("y.token")) & (c("x.comp") > c("y.comp")) & fits)
-    return found.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    out = stored(found.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct(), "near-pairs")
+    discard(some)
+    return out
 
 
-def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, rounds: int = CENTRE_ROUNDS) -> DataFrame:
+def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node and comp of the nodes linked through members(bucket, node, copies), each node once a bucket."""
     pair = lambda a, b: [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
-    # originals tend to have most copies, and variants are nearer to them than to each other
-    centres = members.groupBy("bucket").agg(F.max(F.struct("copies", "node")).alias("c")).select(F.col("bucket").alias("_b"), F.col("c.node").alias("centre"))
-    shared = members.join(centres, F.col("bucket") == F.col("_b")).where("node <> centre").groupBy("node", "centre").count()
-    best = shared.groupBy("node").agg(F.max(F.struct("count", "centre")).alias("m"))  # the centre met in most buckets
+    # A bucket's centre is the node that meets most texts in all its buckets: an original is nearer to its variants than they
+    # are to each other.
+    met = members.groupBy("bucket").agg(F.sum("copies").alias("texts")).withColumnRenamed("bucket", "_b")
+    weight = members.join(met, F.col("bucket") == F.col("_b")).groupBy("node").agg(F.sum("texts").alias("weight")).withColumnRenamed("node", "_w")
+    weighed = stored(members.join(weight, F.col("node") == F.col("_w")).select("bucket", "node", "weight"), "near-weighed")
+    centres = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("c")).select(F.col("bucket").alias("_b"), F.col("c.node").alias("centre"), F.col("c.weight").alias("weight_"))
+    shared = weighed.join(centres, F.col("bucket") == F.col("_b")).where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("times"), F.max("weight_").alias("weight"))
+    best = shared.groupBy("node").agg(F.max(F.struct("times", "weight", "centre")).alias("m"))  # the centre met in most buckets
     tried = stored(best.select(*pair("node", "m.centre")).distinct(), "near-tried")
-    comps = components(stored(verified(tried, sets, threshold), "near-links"))
-    for r in range(rounds):
-        open_ = _with_comp(members, comps)
-        pick = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("h"), "node", "comp")).alias("p")).select(F.col("bucket").alias("_b"), F.col("p.node").alias("other"), F.col("p.comp").alias("_c"))
-        new = open_.join(pick, (F.col("bucket") == F.col("_b")) & (F.col("comp") != F.col("_c")))
-        new = stored(new.select(*pair("node", "other")).distinct().join(tried, ["a", "b"], "left_anti"), "near-new")
-        found = stored(verified(new, sets, threshold), "near-links")
-        tried = tried.union(new)
-        if not found.isEmpty():
-            comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found))
-    open_ = stored(_with_comp(members, comps).select("node", "comp").distinct(), "near-left")
+    links = stored(verified(tried, sets, threshold), "near-links")
+    comps = components(links)
+    open_ = stored(_open(members, comps), "near-left")
+    discard(weighed, tried, links)
     if not open_.isEmpty():
-        found = stored(verified(stored(exact_pairs(open_, sets, threshold), "near-pairs"), sets, threshold), "near-links")
+        pairs = exact_pairs(open_, sets, threshold)
+        found = stored(verified(pairs, sets, threshold), "near-links")
         if not found.isEmpty():
-            comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found))
+            before = comps
+            comps = components(before.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found))
+            discard(before)
+        discard(pairs, found)
+    discard(open_)
     return comps
 
 
@@ -263,11 +244,16 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, b
     members = stored(members.join(full, F.col("bucket") == F.col("_b"), "left_semi").select("bucket", "node", "copies"), "near-members")
     involved = members.select("node").distinct().withColumnRenamed("node", "_n")
     firsts = stored(nodes.join(involved, F.col("node") == F.col("_n"), "left_semi").select(F.col("first")).distinct(), "near-firsts")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(_small(firsts), F.col("_id").eqNullSafe(F.col("first")), "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(small(firsts, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("first")), "left_semi")
     sets = stored(sets_of(texts, width), "near-sets")
-    comps = link(members, sets, threshold).select(F.col("node").alias("_n"), "comp")
-    named = got.select("doc_id", "node").join(comps, F.col("node") == F.col("_n"), "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
-    named = stored(named, "near-named")
+    twice = sets.groupBy("node").count().where("count > 1").limit(1).count() > 0  # ids that repeat or are null
+    if twice:
+        each, sets = sets, stored(sets.dropDuplicates(["node"]), "near-sets")
+        discard(each)
+    found = link(members, sets, threshold)
+    comps = found.select(F.col("node").alias("_n"), "comp")
+    named = stored(got.select("doc_id", "node").join(small(comps, BROADCAST_ROWS), F.col("node") == F.col("_n"), "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp")), "near-named")
+    discard(got, nodes, members, firsts, sets, found)
     heads = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).withColumnRenamed("comp", "_c")
     linked = named.where("comp is not null").join(heads, F.col("comp") == F.col("_c")).select("doc_id", "class_id", "class_size")
     return linked.union(named.where("comp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))

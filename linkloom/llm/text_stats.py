@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of
+from .common import batches_of, small_batches
 
 #: Fixed values.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -80,6 +80,7 @@ def stats_of(text: str | None) -> tuple[int, ...]:
 
 def with_stats(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of docs (renamed by place, so that clashing names do not matter) and STATS of the text."""
+    small_batches(docs.sparkSession)
     inner = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
     kept = [f for f in inner.schema.fields if f.name != "_text"]
     ddl = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [SCHEMA])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH, batches_of, shared_path, strings
+from .common import BATCH, batches_of, shared_path, small_batches, strings
 from .pieces import encoder, file_digest
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
@@ -63,6 +63,7 @@ def count_lines(path: str, is_model: bool) -> Callable[[Iterable[pa.RecordBatch]
 def count_tokens(docs: DataFrame, path: str, cache: str, normalise: Callable[[Column], Column] | None = None, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for each row of docs; the cache gains the distinct misses."""
     spark = docs.sparkSession
+    small_batches(spark)
     version = tokenizer_version(path, "none" if normalise is None else normalise.__name__)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", text.alias("_text"))

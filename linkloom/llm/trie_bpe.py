@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH, batches_of, strings
+from .common import BATCH, batches_of, small_batches, strings
 from .pieces import PieceEncoder, byte_letters, encoder
 
 class TrieBPE(PieceEncoder):
@@ -133,6 +133,7 @@ class TrieBPE(PieceEncoder):
 
 def encode(docs: DataFrame, tokenizer: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs(doc_id, text), and on demand ids and decoded."""
+    small_batches(docs.sparkSession)
     extra = ["ids"] * with_ids + ["decoded"] * with_text
     rows = docs.select(F.col("doc_id"), F.col("text").alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
