@@ -1,7 +1,10 @@
 """A training corpus from raw documents, in five stages; each is written as Parquet and read as the next one's docs.
 
 Stages but the last return the columns of documents. Documents are told apart by
-doc_id and text, so null and repeated ids lose nothing.
+doc_id and text, so null and repeated ids lose nothing. Null texts go with the
+first stage; empty ones stay until the mix, which takes no document without a
+word; texts of any length are taken whole; ties go to the lesser id; an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -13,13 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import language_id, line_dedup, mixing, near_dedup, trie_bpe
-from linkloom.llm.common import documents, stored
+from linkloom.llm.common import documents, small, stored
 from linkloom.llm.queries import tokenizer
 
 
 #: Columns that a stage reads; what else documents have is renamed meanwhile, so that no name of a stage meets it.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: Rows of ids (16 bytes) that may be broadcast, counted first; more are shuffled, and texts with them.
+BROADCAST_ROWS = 1_000_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -57,7 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = line_dedup.numbered(docs)
     classes = near_dedup.classes(rows.select(F.col("_doc").alias("doc_id"), "text"))
     heads = stored(classes.where("doc_id = class_id").select(F.col("doc_id").alias("_head")).distinct(), "pipeline-heads")
-    kept = rows.join(heads, F.col("_doc") == F.col("_head"), "left_semi")
+    kept = rows.join(small(heads, BROADCAST_ROWS), F.col("_doc") == F.col("_head"), "left_semi")
     if heads.count() < kept.select("_doc").count():  # whole rows that repeat
         kept = kept.dropDuplicates(["_doc"])
     return _like(kept, docs)
@@ -71,7 +77,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = stored(taken.where("copies > 0"), "pipeline-taken")
     if rows.groupBy("_doc").count().where("count > 1").limit(1).count():  # whole rows that repeat: their copies are summed
         rows = rows.dropDuplicates(["_doc"])
-    out = rows.join(taken, F.col("_doc") == F.col("_taken")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = rows.join(small(taken, BROADCAST_ROWS), F.col("_doc") == F.col("_taken")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return _like(out, docs)
 
 
