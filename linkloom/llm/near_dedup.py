@@ -40,6 +40,8 @@ from .components import components
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
+#: Centres that a node is compared with before the nodes left are joined exactly, and words of a set's parity bitmap there.
+CENTRES, PARITY = 3, 4
 #: Rows of ids (16 bytes) that may be broadcast, counted first; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -154,15 +156,24 @@ def signed(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, bands array<long>")
 
 
+def parity(elements: np.ndarray) -> np.ndarray:
+    """The elements' bits of 64 * PARITY, each the parity of those that fall on it: two sets differ in as many elements at
+    least as their bitmaps in bits."""
+    at = ((elements >> _U(7)) % _U(64 * PARITY)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
 def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """node and its whole shingle set for each row of docs(text) that has one."""
+    """node, its whole shingle set and the set's bitmap for each row of docs(text) that has one."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it, 500):
             got = [e for t in b.column("text").to_pylist() if len(e := shingles(t, width)[0])]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(e) for e in got], pa.int64()), pa.array([e.view(np.int64) for e in got], pa.list_(pa.int64()))], names=["node", "elements"])
+            of = np.array([parity(e) for e in got], np.int64).reshape(-1, PARITY)
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(e) for e in got], pa.int64()), pa.array([e.view(np.int64) for e in got], pa.list_(pa.int64())), *(pa.array(of[:, k]) for k in range(PARITY))], names=["node", "elements", *maps])
 
-    return docs.select("text").mapInArrow(run, "node long, elements array<long>")
+    maps = [f"p{k}" for k in range(PARITY)]
+    return docs.select("text").mapInArrow(run, "node long, elements array<long>, " + ", ".join(f"{c} long" for c in maps))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -186,21 +197,23 @@ def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
 def exact_pairs(open_: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b) of nodes of different components in open_(node, comp) that may reach the threshold, by an exact prefix
     join: shingles are ordered by rarity (counts over these nodes), a pair must share one of the first
-    n - ceil(t n) + 1, be of like size and have enough left after it. The shingles that edits made come first, so the
+    n - ceil(t n) + 1, be of like size, have enough left after it and differ in few enough bits of their bitmaps. The shingles that edits made come first, so the
     many variants of one text do not meet in all pairs; those of one node only are counted but meet nobody."""
-    some = stored(sets.join(small(open_, BROADCAST_ROWS), "node").select("node", "comp", "elements"), "near-open-sets")
+    maps = [f"p{k}" for k in range(PARITY)]
+    some = stored(sets.join(small(open_, BROADCAST_ROWS), "node").select("node", "comp", "elements", *maps), "near-open-sets")
     each = some.select("node", F.explode("elements").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("token", "_t")
     shared = each.join(often, F.col("token") == F.col("_t")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("s")).withColumnRenamed("node", "_n")  # a list is a part of one text's shingles
     n = F.size("elements")
-    rows = some.select("node", "comp", n.alias("n"), (n - F.ceil(threshold * n - F.lit(1e-9)) + 1).alias("keep")).join(shared, F.col("node") == F.col("_n"))
+    rows = some.select("node", "comp", *maps, n.alias("n"), (n - F.ceil(threshold * n - F.lit(1e-9)) + 1).alias("keep")).join(shared, F.col("node") == F.col("_n"))
     before = F.col("n") - F.size("s")  # shingles of this node alone
-    rows = rows.select("node", "comp", "n", before.alias("before"), F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("keep") - before).cast("int")).alias("pre"))
-    rows = rows.select("node", "comp", "n", "before", F.posexplode("pre").alias("i", "of")).select("node", "comp", "n", (F.col("before") + F.col("i")).alias("i"), F.col("of.token").alias("token"))
+    rows = rows.select("node", "comp", *maps, "n", before.alias("before"), F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("keep") - before).cast("int")).alias("pre"))
+    rows = rows.select("node", "comp", *maps, "n", "before", F.posexplode("pre").alias("i", "of")).select("node", "comp", *maps, "n", (F.col("before") + F.col("i")).alias("i"), F.col("of.token").alias("token"))
     x, y = rows.alias("x"), rows.alias("y")
     c = F.col
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (c("x.n") + c("y.n")) - F.lit(1e-9))
     fits = (c("x.n") >= threshold * c("y.n") - 1e-9) & (c("y.n") >= threshold * c("x.n") - 1e-9) & (1 + F.least(c("x.n") - c("x.i") - 1, c("y.n") - c("y.i") - 1) >= need)
+    fits = fits & (sum(F.bit_count(c(f"x.{p}").bitwiseXOR(c(f"y.{p}"))) for p in maps) <= c("x.n") + c("y.n") - 2 * need)
     found = x.join(y, (c("x.token") == c("y.token")) & (c("x.comp") > c("y.comp")) & fits)
     out = stored(found.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct(), "near-pairs")
     discard(some)
@@ -217,7 +230,9 @@ def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
     weighed = stored(members.join(weight, F.col("node") == F.col("_w")).select("bucket", "node", "weight"), "near-weighed")
     centres = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("c")).select(F.col("bucket").alias("_b"), F.col("c.node").alias("centre"), F.col("c.weight").alias("weight_"))
     shared = weighed.join(centres, F.col("bucket") == F.col("_b")).where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("times"), F.max("weight_").alias("weight"))
-    best = shared.groupBy("node").agg(F.max(F.struct("times", "weight", "centre")).alias("m"))  # the centre met in most buckets
+    # the centres met in most buckets, of which a node has no more than bands
+    best = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "weight", "centre")), False).alias("m"))
+    best = best.select("node", F.explode(F.slice("m", 1, CENTRES)).alias("m"))
     tried = stored(best.select(*pair("node", "m.centre")).distinct(), "near-tried")
     links = stored(verified(tried, sets, threshold), "near-links")
     comps = components(links)
@@ -255,5 +270,6 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, b
     named = stored(got.select("doc_id", "node").join(small(comps, BROADCAST_ROWS), F.col("node") == F.col("_n"), "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp")), "near-named")
     discard(got, nodes, members, firsts, sets, found)
     heads = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).withColumnRenamed("comp", "_c")
-    linked = named.where("comp is not null").join(heads, F.col("comp") == F.col("_c")).select("doc_id", "class_id", "class_size")
+    heads = stored(heads, "near-heads")
+    linked = named.where("comp is not null").join(small(heads, BROADCAST_ROWS), F.col("comp") == F.col("_c")).select("doc_id", "class_id", "class_size")
     return linked.union(named.where("comp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))

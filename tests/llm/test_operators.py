@@ -203,6 +203,14 @@ def test_near_duplicates_on_odd_rows(spark, odd):
     assert len(got) == 9 and {x["class_id"] for x in got if x["doc_id"] in (None, 5)} == {5} and near_dedup.classes(odd.limit(0)).count() == 0
 
 
+def test_parity_bitmaps_bound_the_difference():
+    r = np.random.default_rng(19)
+    for _ in range(50):
+        a, b = (near_dedup.mix64(np.unique(r.integers(0, 400, r.integers(1, 300))).astype(np.uint64)) for _ in range(2))
+        bits = sum((int(x) ^ int(y)).bit_count() for x, y in zip(near_dedup.parity(a).view(np.uint64), near_dedup.parity(b).view(np.uint64), strict=True))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_darts_estimate_weighted_jaccard():
     r = np.random.default_rng(9)
     e = near_dedup.mix64(np.arange(300, dtype=np.uint64))
