@@ -91,7 +91,7 @@ class TrieBPE(PieceEncoder):
         out: list[bytes] = [b""] * len(raw)
         last, size, before = [0], [0], ""  # of each depth: the last token's id and its length
         ok, find = self.ok, self.ends.iter
-        if len(ok) > 2_000_000:
+        if len(ok) > 600_000:
             ok.clear()
         for k in order:
             w = raw[k]
