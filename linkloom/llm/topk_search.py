@@ -15,7 +15,10 @@ Queries go out in blocks of ``BLOCK`` (a fixed size), each against all rows.
 Defined cases: vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows without id; a query meets vectors of its
 own dimension; rows that share the query's id count as its own; repeated rows
-are ranked as often as they occur; fewer than k others give fewer rows.
+are ranked as often as they occur; fewer than k others give fewer rows; an empty
+table gives none. Products are exact in 64-bit integers: components of up to
+2 ** 31 / sqrt(dimensions) are safe. Other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -44,11 +47,19 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The integer products of the rows of q with those of x: by floats where these hold them, else by 64-bit integers."""
+    most = lambda a: int(max(a.max(initial=0), -int(a.min(initial=0))))
+    if most(q) * most(x) * q.shape[-1] < 1 << 53:
+        return (q.astype(float) @ x.astype(float).T).astype(np.int64)
+    return q @ x.T
+
+
 def _rows(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """ids and matrices of a batch, by dimension."""
+    """ids and integer matrices of a batch, by dimension."""
     ids, v = b.column("vec_id").to_numpy(zero_copy_only=False), b.column("v")
     ends = v.offsets.to_numpy()
-    flat, dims = v.values.to_numpy(zero_copy_only=False).astype(float), np.diff(ends)
+    flat, dims = v.values.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(ends)
     for d in np.unique(dims):
         at = np.flatnonzero(dims == d)
         yield ids[at], flat[(ends[:-1][at][:, None] + np.arange(d)).astype(np.int64)]
@@ -59,20 +70,22 @@ class Best:
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, q, k
-        self.norm = np.sqrt((q * q).sum(1))
-        self.scores: list[np.ndarray] = [np.zeros(0)] * len(q)
+        self.norm = np.sqrt((q.astype(float) ** 2).sum(1))
+        self.scores: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
         self.found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+        self.least = np.full(len(q), np.iinfo(np.int64).min)  # the k-th best score, and the same to prune by
         self.floor = np.full(len(q), -np.inf)
 
     def add(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        hit = (scores >= self.floor[i]) & (ids != self.ids[i])
+        hit = (scores >= self.least[i]) & (ids != self.ids[i])
         if not hit.any():
             return
         s, v = np.concatenate([self.scores[i], scores[hit]]), np.concatenate([self.found[i], ids[hit]])
-        order = np.lexsort((v, -s))[: self.k]
+        order = np.lexsort((v, ~s))[: self.k]
         self.scores[i], self.found[i] = s[order], v[order]
         if len(order) == self.k:
-            self.floor[i] = s[order[-1]]
+            self.least[i] = s[order[-1]]
+            self.floor[i] = float(s[order[-1]]) * (1 - 1e-12 * np.sign(float(s[order[-1]])))
 
     def bucket(self, ids: np.ndarray, x: np.ndarray, length: np.ndarray) -> None:
         """x: vectors by falling length."""
@@ -98,7 +111,7 @@ class Best:
                 high = 1.0 if u[f] >= local[i] else mid + off
                 at = order[f][np.searchsorted(sorted_[f], low - 1e-9) : np.searchsorted(sorted_[f], high + 1e-9, "right")]
                 if len(at):
-                    self.add(i, ids[at], x[at] @ self.q[i])
+                    self.add(i, ids[at], products(self.q[i], x[at]))
         by_length = np.flatnonzero(local < BY_COORDINATE)
         if len(by_length):
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -108,8 +121,8 @@ class Best:
                 n = int(reach[np.searchsorted(by_length, some)].max()) if len(some) else 0
                 if not n:
                     continue
-                scores = self.q[some] @ x[:n].T
-                busy = (scores >= self.floor[some][:, None]).any(1)
+                scores = products(self.q[some], x[:n])
+                busy = (scores >= self.least[some][:, None]).any(1)
                 for j in np.flatnonzero(busy):
                     self.add(int(some[j]), ids[:n], scores[j])
 
@@ -138,7 +151,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
                 for ids, x in _rows(b):
                     if (own := best.get(x.shape[1])) is None:
                         continue
-                    length = np.sqrt((x * x).sum(1))
+                    length = np.sqrt((x.astype(float) ** 2).sum(1))
                     order = np.argsort(-length, kind="stable")
                     for a in range(0, len(order), BUCKET):
                         at = order[a : a + BUCKET]
@@ -146,7 +159,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
             for own in best.values():
                 n = [len(s) for s in own.scores]
                 if sum(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own.ids, n)), pa.array(np.concatenate(own.found)), pa.array(np.concatenate(own.scores).astype(np.int64))], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own.ids, n)), pa.array(np.concatenate(own.found)), pa.array(np.concatenate(own.scores))], names=["query_id", "vec_id", "score"])
 
         some = by_length.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
         out = some if out is None else out.unionByName(some)
