@@ -8,7 +8,9 @@ trigram count for each member. The predicted language is the largest part.
 
 Defined cases: null text or text without a letter gives ``und`` and score 0; so
 does every text if nothing was learned. Ties go to the language first by code
-point. Repeated rows give repeated rows.
+point. Repeated rows give repeated rows. Texts of any length are taken whole; an
+empty table gives no rows. The score is the predicted language's proportion in
+the mixture of all languages, before the set is chosen.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ MAX_DOCS_PER_LANGUAGE = 1500
 #: Hashed trigrams.
 BUCKETS = 1 << 15
 
+_LETTER = regex.compile(r"\p{L}")
 _ASCII = np.array([c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(128)], np.uint32)
 
 
@@ -45,7 +49,7 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def has_letter(text: str) -> bool:
-    return text.lower() != text.upper() or any(map(str.isalpha, text))
+    return _LETTER.search(text) is not None
 
 
 @dataclass
@@ -56,6 +60,9 @@ class Mixture:
     def __post_init__(self) -> None:
         self.p = np.exp(self.logp)
 
+    def __getstate__(self) -> dict:
+        return {"languages": self.languages, "p": self.p}  # what a worker needs
+
     def fit(self, p: np.ndarray, c: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, float]:
         """Proportions under a flat prior of one trigram for each language, and the log likelihood."""
         k = p.shape[1]
@@ -69,7 +76,7 @@ class Mixture:
         return pi, float(c @ np.log(p @ pi))
 
     def infer(self, text: str | None) -> tuple[str, float, list[str]]:
-        """The predicted language, its proportion, and the set of languages found."""
+        """The predicted language, its proportion in the mixture of all languages, and the set of languages found."""
         if not text or not self.languages or not has_letter(text):
             return "und", 0.0, []
         grams = trigrams(text)
