@@ -11,6 +11,8 @@ Defined cases: a null host or path is a site of its own; null text has all
 statistics 0; no labels, or labels of one class, give every document the share
 of good labels (1 without labels); repeated rows count as often as they occur;
 an empty table gives no rows. A label is the least non-null one of its document.
+Texts of any length are taken whole; other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations

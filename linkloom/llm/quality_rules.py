@@ -9,6 +9,8 @@ earlier rule took. The list is emitted as ordered Spark conditionals
 Defined cases: a null or empty text has no words and fails the base rules; no
 labels, or labels of one class, give an empty list (verdict: keep); repeated
 rows give repeated rows; a document's label is the least non-null one of its rows.
+Texts of any length are taken whole; other columns, whatever their names, are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fraction_of, stored
-from .text_stats import with_stats
+from .text_stats import STATS, with_stats
 
 #: Labelled rows that the learner sees at most (about); all rows are judged.
 MAX_LABELLED = 20_000
@@ -153,11 +155,10 @@ def learn(x: np.ndarray, reject: np.ndarray, names: list[str], min_precision: fl
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_LABELLED) -> DataFrame:
-    """At most about ``most`` labelled rows of stats, chosen by a hash of the id."""
+    """At most about ``most`` labelled rows of stats, chosen by a hash of the id and the statistics; rows that repeat are one."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_y")).where("_id is not null and _y is not null").groupBy("_id").agg(F.min("_y").alias("_y"))
-    n = known.count()
-    known = known.where(fraction_of(F.col("_id"), most / max(n, 1)))
-    return stats.join(known, stats["doc_id"] == known["_id"]).drop("_id")
+    rows = stats.join(known, stats["doc_id"] == known["_id"]).drop("_id")
+    return rows.where(fraction_of(F.xxhash64("doc_id", *STATS), most / max(rows.count(), 1))).dropDuplicates(["doc_id", *STATS])
 
 
 def base_failed() -> Column:
