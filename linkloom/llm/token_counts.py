@@ -12,7 +12,8 @@ so nothing else may be changed there; ``normalise`` takes a column function for
 tokenizers that ignore more (say lower case).
 
 Defined cases: repeated rows give repeated rows; ids may be null or repeat, as
-rows are told apart by digest only.
+rows are told apart by digest only; texts of any length are taken whole; an empty
+table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH, batches_of, shared_path, small_batches, strings
+from .common import BATCH, batches_of, discard, shared_path, small, small_batches, stored, strings
 from .pieces import encoder, file_digest
 
+#: Rows of keys (40 bytes) that may be broadcast, counted first; more are shuffled, and texts with them.
+BROADCAST_ROWS = 500_000
+
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
 
@@ -72,13 +76,14 @@ def count_tokens(docs: DataFrame, path: str, cache: str, normalise: Callable[[Co
     # Which row stands for each digest: file and place are unique, ids need not be.
     place = F.xxhash64(F.col("doc_id"), F.octet_length("_text"))
     first = keyed.groupBy("digest").agg(F.min(F.struct(place.alias("place"))).alias("first"))
-    misses = first.join(known, "digest", "left_anti").select(F.col("digest").alias("_digest"), F.col("first.place").alias("_place"))
-    rows = keyed.withColumn("_place", place)
+    key = lambda digest, at: F.concat(digest, F.unhex(F.hex(at)))  # noqa: E731  one key, so that copies are not dealt by digest
+    misses = stored(first.join(known, "digest", "left_anti").select(key(F.col("digest"), F.col("first.place")).alias("_key")), "count-misses")
     # A text goes to the encoder only if its own row was picked; rows of one digest that share id and length do so
     # together and are counted once below.
-    picked = rows.join(misses, (rows["digest"] == misses["_digest"]) & (rows["_place"] == misses["_place"]), "left_semi").select("digest", "_text")
+    picked = keyed.withColumn("_own", key(F.col("digest"), place)).join(small(misses, BROADCAST_ROWS), F.col("_own") == F.col("_key"), "left_semi").select("digest", "_text")
     counted = picked.mapInArrow(count_lines(path, path.endswith(".model")), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    discard(misses)
     counts = read_cache(spark, cache, version)
     out = keyed.select("doc_id", F.octet_length("_text").cast("long").alias("n_bytes"), "digest").join(counts, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
