@@ -13,7 +13,8 @@ Random numbers are hashes of the two ids, the level and the seed, so reruns and
 recomputed tasks agree. Defined cases: null text has size 0 and is never taken;
 a null source is a source of its own, last; documents of size 0 get 0; an empty
 table gives no rows; rows with the same id and size are alike, and which of them
-is taken is not defined, but how many are is.
+is taken is not defined, but how many are is. Texts of any length are taken whole;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -111,16 +112,19 @@ def _rounded(rows: DataFrame, level: int, seed: int, last: bool) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 17) -> DataFrame:
     """doc_id, size, source, source_size, target, copies and taken for each row of docs(doc_id, text, source)."""
     sized = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "source")
-    sized = stored(sized, "mix-sizes")
+    sized = stored(sized.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     plan = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, cap), "mix-targets")
     most = plan.agg(F.max("n")).first()[0] or 0
     leaves = max(1, math.ceil(most / LEAF))
     facts = plan.select(F.col("source").alias("_source"), "source_size", "target", F.ceil(F.col("n") / LEAF).alias("leaves"), F.col("rank").cast("int").alias("source_rank"))
-    joined = sized.join(facts, F.col("source").eqNullSafe(F.col("_source")))
+    often = sized.groupBy(F.col("doc_id").alias("_i"), F.col("size").alias("_n")).count().where(F.col("count") > LEAF).select("_i", "_n", F.lit(True).alias("_often"))
+    alike = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("size") == F.col("_n"))
+    joined = sized.join(F.broadcast(often), alike, "left").join(facts, F.col("source").eqNullSafe(F.col("_source")))  # of LEAF rows, one is often at most
+    told = F.when(F.col("_often"), F.col("row"))  # rows that share id and size by the thousand would fill one leaf
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = joined.withColumn("times", times).withColumn("whole", F.floor("times").cast("long"))
     # place tells rows of the same id apart as far as their sizes do
-    level0 = joined.select("doc_id", F.xxhash64("doc_id", "size").alias("place"), "size", "whole", "source_rank", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("leaves")).alias("bucket"), ((F.col("times") - F.col("whole")) * F.col("size")).alias("mass"))
+    level0 = joined.select("doc_id", F.xxhash64("doc_id", "size").alias("place"), "size", "whole", "source_rank", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", told), F.col("leaves")).alias("bucket"), ((F.col("times") - F.col("whole")) * F.col("size")).alias("mass"))
     level, done, rows = 0, [], level0
     while True:  # the depth of the tree: log(leaves) to the base FAN_IN
         got = _rounded(rows, level, seed, leaves == 1)
