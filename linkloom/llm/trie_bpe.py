@@ -13,7 +13,8 @@ trie: the stack of states of the common prefix with the word before is kept, so
 each shared prefix is computed once. Words are those of the byte-level split.
 
 Defined cases: null text encodes as empty; special strings become their ids;
-texts of any length are taken whole; repeated rows give repeated rows.
+texts of any length are taken whole; repeated rows give repeated rows; an empty
+table gives none; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -321,6 +321,93 @@ def test_blocks_decode_by_segment_and_know_damage(monkeypatch):
         token_file.unpack(coder, payload[:200] + bytes([payload[200] ^ 1]) + payload[201:])
 
 
+def test_search_is_exact_beyond_doubles(spark):
+    r = np.random.default_rng(15)
+    v = r.integers(2**27, 2**28, (60, 4))
+    df = spark.createDataFrame([(i, [float(c) / 1024 for c in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = topk_search.search(df, F.col("vec_id") % 20 == 0).collect()
+    for a in (0, 20, 40):
+        best = sorted((-sum(int(p) * int(q) for p, q in zip(v[a], v[b], strict=True)), b) for b in range(60) if b != a)[:10]
+        assert [(x["vec_id"], x["score"]) for x in sorted(got, key=lambda x: x["rank"]) if x["query_id"] == a] == [(b, -s) for s, b in best]
+
+
+def test_signs_are_no_letters():
+    assert not any(map(language_id.has_letter, ["\u24d0\u24b6", "\u2167", "12 !", ""])) and language_id.has_letter("1\u4e2d")
+
+
+def test_labelled_sample_counts_rows(spark):
+    rows = [(1, words(random.Random(i), 60), "en", "a") for i in range(500)] + [(2, "one text", "en", "a")] * 300
+    stats = text_stats.with_stats(docs(spark, rows), ["doc_id"])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality_rules.labelled_sample(stats, labels, most=100).count() < 200
+
+
+def test_rules_decide_as_the_list(spark):
+    r = random.Random(21)
+    rows = [(i, " ".join(f"w{r.randrange(60)}" + ("#" if r.random() < (0.6 if i % 4 == 0 else 0.05) else "") for _ in range(r.choice([20, 70]))), "en", "a") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(200)], "doc_id long, quality int")
+    out, found = quality_rules.judge(docs(spark, rows), labels)
+    names = list(quality_rules.RATIOS)
+    seen = out.select("doc_id", "n_words", "n_repeat_words", "base_failed", "kept", *[quality_rules.ratio(n).alias(f"r_{n}") for n in names]).collect()
+    verdict = found.predict(np.array([[x[f"r_{n}"] for n in names] for x in seen], float), names)
+    for x, v in zip(seen, verdict, strict=True):
+        base = x["n_words"] < 50 or 100 * x["n_repeat_words"] > 50 * x["n_words"]
+        assert x["base_failed"] == base and x["kept"] == (not base and bool(v))
+    assert found.rules and len({x["kept"] for x in seen}) == 2
+
+
+def test_site_posteriors_by_brute_force(spark):
+    r = random.Random(22)
+    rows = [(i, " ".join(f"w{r.randrange(60)}" + ("#" if r.random() < (0.5 if (i // 3) % 2 else 0.1) else "") for _ in range(60)), r.choice(["p", "q", None]), "abc"[i % 3]) for i in range(120)]
+    labels = spark.createDataFrame([(i, int((i // 3) % 2 == 0)) for i in range(120)], "doc_id long, quality int")
+    got = quality_bayes.classify(docs(spark, rows), labels).collect()
+    p = {x["doc_id"]: x["evidence"] for x in got}
+    host, path = defaultdict(list), defaultdict(list)
+    for i, _, la, s in rows:
+        host[s].append(p[i])
+        path[s, la].append(p[i])
+
+    def worth(groups):
+        every = [x for g in groups for x in g]
+        n, mean = len(every), sum(every) / len(every)
+        inner = sum(len(g) * (sum(g) / len(g)) ** 2 for g in groups)
+        within = max(1e-12, (sum(x * x for x in every) - inner) / max(1, n - len(groups)))
+        between = ((inner - n * mean**2) - (len(groups) - 1) * within) / max(1e-12, n - sum(len(g) ** 2 for g in groups) / n)
+        return mean, within / between if between > 1e-9 else 1e9
+
+    mean, of_host = worth(list(host.values()))
+    _, of_path = worth([[x - sum(host[s]) / len(host[s]) for x in g] for (s, _), g in path.items()])
+    logit = lambda x: math.log((q := max(1e-4, min(1 - 1e-4, x))) / (1 - q))
+    where = {i: (s, la) for i, _, la, s in rows}
+    for x in got:
+        s, la = where[x["doc_id"]]
+        a = (sum(host[s]) - p[x["doc_id"]] + of_host * mean) / (len(host[s]) - 1 + of_host)
+        b = (sum(path[s, la]) - p[x["doc_id"]] + of_path * a) / (len(path[s, la]) - 1 + of_path)
+        q = 1 / (1 + math.exp(-(logit(p[x["doc_id"]]) + logit(b) - logit(mean))))
+        assert math.isclose(x["host_posterior"], a, rel_tol=1e-6) and math.isclose(x["path_posterior"], b, rel_tol=1e-6) and math.isclose(x["quality"], q, rel_tol=1e-6)
+
+
+def test_mixture_by_plain_expectation_maximisation():
+    r = np.random.default_rng(23)
+    model = language_id.Mixture(["a", "b", "c"], np.log(r.dirichlet(np.full(language_id.BUCKETS, 0.01) + 1e-3, 3).T + 1e-9))
+    text = "the quick brown fox jumps over the lazy dog and runs away from all of them " * 3
+    grams = language_id.trigrams(text)
+    pi = [1 / 3] * 3
+    for _ in range(15):
+        part = [0.0] * 3
+        for g in grams:
+            w = [pi[k] * model.p[g, k] for k in range(3)]
+            for k in range(3):
+                part[k] += w[k] / sum(w)
+        new = [(x + 1) / (len(grams) + 3) for x in part]
+        done = max(abs(x - y) for x, y in zip(new, pi, strict=True)) < 1e-4
+        pi = new
+        if done:
+            break
+    lang, score, _ = model.infer(text)
+    assert lang == "abc"[int(np.argmax(pi))] and math.isclose(score, max(pi), rel_tol=1e-9)
+
+
 def test_search_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "BUCKET", 7)
     r = np.random.default_rng(14)
