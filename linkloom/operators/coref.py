@@ -67,9 +67,15 @@ def single(mentions: DataFrame, threshold: float = lx.COREF_THRESHOLD, max_gap:
     named = mentions.where(F.col("entity_id").isNotNull() & ~anaphor)
     exp = expected_type(F.col("mention"), F.col("mention_type"))
     s = seek.select("doc_id", "idx", "sentence_index", exp.alias("expected"))
-    a = named.select("doc_id", F.col("idx").alias("a_idx"), F.col("sentence_index").alias("a_sent"), F.col("mention_type").alias("a_type"), F.col("entity_id").alias("a_entity"))
+    a = named.select(F.col("doc_id").alias("_d"), F.col("idx").alias("a_idx"), F.col("sentence_index").alias("a_sent"), F.col("mention_type").alias("a_type"), F.col("entity_id").alias("a_entity"))
     gap = F.greatest(F.lit(0), F.col("sentence_index") - F.col("a_sent"))
-    pairs = s.join(a, "doc_id").where((F.col("a_idx") < F.col("idx")) & (gap <= max_gap) & compatible(F.col("expected"), F.col("a_type")))
+    keyed = s.withColumn("_k", F.explode(F.sequence(F.col("sentence_index") - max_gap, F.col("sentence_index"))))
+    pairs = keyed.join(a, (F.col("doc_id") == F.col("_d")) & (F.col("_k") == F.col("a_sent"))).drop("_k")
+    # where sentences do not rise with idx, a mention before may be of a later sentence: gap 0
+    back = F.max("sentence_index").over(Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)) > F.col("sentence_index")
+    odd = mentions.select(F.col("doc_id").alias("_o"), back.alias("_b")).where("_b").select("_o").distinct()
+    behind = s.join(odd, F.col("doc_id") == F.col("_o"), "left_semi").join(a, (F.col("doc_id") == F.col("_d")) & (F.col("a_sent") > F.col("sentence_index")))
+    pairs = pairs.unionByName(behind).drop("_d").where((F.col("a_idx") < F.col("idx")) & (gap <= max_gap) & compatible(F.col("expected"), F.col("a_type")))
     score = antecedent_score(F.col("idx") - F.col("a_idx"), gap, normal_type(F.col("expected")) == normal_type(F.col("a_type")))
     best = pairs.groupBy("doc_id", "idx").agg(F.max(F.struct(score.alias("score"), "a_idx", "a_entity")).alias("b"))
     out = seek.select("doc_id", "idx", "mention").join(best, ["doc_id", "idx"], "left")
@@ -271,3 +277,43 @@ def fold_stream(it: Iterator[pd.DataFrame], stack: Stack) -> Iterator[pd.DataFra
             entity = r.entity_id if isinstance(r.entity_id, str) and r.entity_id else None
             rows.append((r.doc_id, int(r.idx), r.mention, *stack.resolve(int(r.idx), r.mention, r.mention_type, int(r.sentence_index), r.role, entity, 0.0)))
         yield pd.DataFrame(rows, columns=["doc_id", "idx", "mention", "entity_id", "antecedent_idx", "score", "rule", "is_nil"]).astype({"antecedent_idx": "Int32"})
+
+
+#: How the older resolver scores an antecedent.
+ALIAS_SCORE, ANAPHOR_BASE, NAME_BASE, STEP, GAP, SAME_SENTENCE, NEXT_SENTENCE, BOTH_ORG = 0.98, 0.80, 0.62, 0.08, 0.05, 0.10, 0.04, 0.03
+
+
+def recency_score(is_alias: Column, is_anaphor_: Column, distance: Column, gap: Column, both_org: Column) -> Column:
+    """The older resolver's score of an antecedent so many mentions and sentences before."""
+    base = F.when(is_anaphor_, ANAPHOR_BASE).otherwise(NAME_BASE)
+    near = F.when(gap == 0, SAME_SENTENCE).when(gap == 1, NEXT_SENTENCE).otherwise(0.0)
+    return F.when(is_alias, ALIAS_SCORE).otherwise(base - STEP * distance - GAP * gap + near + F.when(both_org, BOTH_ORG).otherwise(0.0))
+
+
+def by_recency(mentions: DataFrame, threshold: float = lx.COREF_THRESHOLD) -> DataFrame:
+    """The older resolver, without its chains: linked names keep their entity, other mentions take the best linked name
+    before them (an equal name, or by recency and type if they are anaphors): doc_id, idx, entity_id, score, rule, is_nil.
+    An anaphor never becomes an antecedent here; the entity that it would hand on is its antecedent's."""
+    named = mentions.where((F.lower("role") == "name") & F.col("entity_id").isNotNull())
+    seek = mentions.where(~((F.lower("role") == "name") & F.col("entity_id").isNotNull()))
+    a = named.select(F.col("doc_id").alias("_d"), F.col("idx").alias("a_idx"), F.col("sentence_index").alias("a_sent"), normal_type(F.col("mention_type")).alias("a_type"), tx.squash(F.col("mention")).alias("a_name"), F.col("entity_id").alias("a_entity"))
+    s = seek.select("doc_id", "idx", "sentence_index", normal_type(F.col("mention_type")).alias("kind"), tx.squash(F.col("mention")).alias("name"), is_anaphor(F.col("mention"), F.col("mention_type"), F.col("role")).alias("anaphor"))
+    pairs = s.join(a, (F.col("doc_id") == F.col("_d")) & (F.col("a_idx") < F.col("idx")) & compatible(F.col("kind"), F.col("a_type")) & (F.col("anaphor") | (F.col("name") == F.col("a_name"))))
+    gap = F.greatest(F.lit(0), F.col("sentence_index") - F.col("a_sent"))
+    alias = F.col("name") == F.col("a_name")
+    score = recency_score(alias, F.col("anaphor"), F.col("idx") - F.col("a_idx"), gap, (F.col("kind") == "ORG") & (F.col("a_type") == "ORG"))
+    # of equal scores the antecedent that came first wins
+    best = pairs.groupBy("doc_id", "idx").agg(F.max(F.struct(score.alias("score"), F.negative("a_idx").alias("o"), "a_entity", F.when(alias, "alias_match").otherwise("recency_and_type").alias("rule"))).alias("b"))
+    out = seek.select("doc_id", "idx").join(best, ["doc_id", "idx"], "left")
+    low = F.col("b.score") < threshold
+    found = out.select("doc_id", "idx", F.when(~low, F.col("b.a_entity")).alias("entity_id"), F.coalesce("b.score", F.lit(0.0)).alias("score"), F.when(F.col("b").isNull(), "no_candidate").when(low, "below_threshold").otherwise(F.col("b.rule")).alias("rule"), (F.col("b").isNull() | low).alias("is_nil"))
+    return named.select("doc_id", "idx", "entity_id", F.lit(1.0).alias("score"), F.lit("linked_name").alias("rule"), F.lit(False).alias("is_nil")).unionByName(found)
+
+
+def is_plural(mention: Column, model: Column | None = None) -> Column:
+    """Whether a pronoun is plural, and how sure that is: by word list, else by a model's struct(is_plural, confidence), else no at 0."""
+    m = tx.squash(mention)
+    known = lambda yes: F.struct(F.lit(yes).alias("is_plural"), F.lit(1.0).alias("confidence"))
+    other = F.struct(F.lit(False).alias("is_plural"), F.lit(0.0).alias("confidence")) if model is None else model
+    plural = (*lx.COLLECTIVE_ANAPHORS, "他们", "她们", "它们")
+    return F.when(m.isin(*plural), known(True)).when(m.isin(*lx.ORG_ANAPHORS, *lx.PERSON_ANAPHORS), known(False)).otherwise(other)

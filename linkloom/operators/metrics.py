@@ -124,3 +124,84 @@ def sweep(rows: DataFrame, thresholds: list[float], correct) -> DataFrame:
 def best_threshold(swept: DataFrame) -> DataFrame:
     """The threshold of highest accuracy, the lowest of equals."""
     return swept.agg(F.max_by(F.struct("threshold", "accuracy"), F.struct("accuracy", F.negative("threshold"))).alias("b")).select("b.threshold", "b.accuracy")
+
+
+def alias_metrics(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Of rows(expected_id, predicted_id, is_negative, is_ambiguous, has_pressure): recall of positives, precision of
+    negatives (nothing is predicted), accuracy of ambiguous positives under candidate pressure, and of all."""
+    bad = F.coalesce("is_negative", F.lit(False))
+    right = F.when(bad, F.col("predicted_id").isNull()).otherwise(F.coalesce(F.col("predicted_id") == F.col("expected_id"), F.lit(False)))
+    hard = ~bad & F.coalesce("is_ambiguous", F.lit(False)) & F.coalesce("has_pressure", F.lit(False))
+    share = lambda c: safe_ratio(F.count_if(c & right), F.count_if(c))
+    return rows.groupBy(*(by or [])).agg(F.count("*").alias("total"), F.count_if(right).alias("correct"), share(~bad).alias("positive_recall"), share(bad).alias("negative_precision"), share(hard).alias("ambiguous_accuracy"), share(F.lit(True)).alias("overall"))
+
+
+def acceptance_rates(rows: DataFrame) -> DataFrame:
+    """Of rows(gold_id, expected_nil, candidate_ids, pred_id): alias recall (gold among the candidates, of rows with gold)
+    and disambiguation accuracy (no candidates is right for NIL)."""
+    has, nil = F.col("gold_id").isNotNull(), F.coalesce("expected_nil", F.lit(False))
+    hit = F.coalesce(has & F.array_contains("candidate_ids", F.col("gold_id")), F.lit(False))
+    said = F.when(F.size(F.coalesce("candidate_ids", F.array().cast("array<string>"))) > 0, F.col("pred_id"))
+    right = F.when(nil, said.isNull()).otherwise(F.coalesce(said == F.col("gold_id"), F.lit(False)))
+    m = rows.agg(F.count_if(hit).alias("candidate_hits"), F.count_if(has).alias("candidate_total"), F.count_if(right).alias("disambiguation_correct"), F.count("*").alias("disambiguation_total"))
+    return m.withColumn("alias_recall", safe_ratio(F.col("candidate_hits"), F.col("candidate_total"))).withColumn("disambiguation_accuracy", safe_ratio(F.col("disambiguation_correct"), F.col("disambiguation_total")))
+
+
+def discourse_metrics(rows: DataFrame, dims: list[str]) -> DataFrame:
+    """By each of dims: cases, positives and NILs, how many of each are right, false NILs and wrong sets, of rows(gold_ids, pred_ids);
+    an empty set is NIL."""
+    g, p = F.array_sort(F.array_distinct("gold_ids")), F.array_sort(F.array_distinct("pred_ids"))
+    yes, said = F.size(g) > 0, F.size(p) > 0
+    flags = {"positive": yes, "positive_right": yes & (g == p), "nil": ~yes, "nil_right": ~yes & ~said, "false_nil": yes & ~said, "wrong_set": yes & said & (g != p)}
+    each = rows.select(*[c.cast("long").alias(k) for k, c in flags.items()], F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("bucket")) for d in dims])).alias("d"))
+    return each.groupBy("d.dimension", "d.bucket").agg(F.count("*").alias("total"), *[F.sum(k).alias(k) for k in flags])
+
+
+def candidate_stats(candidates: DataFrame, key: str) -> DataFrame:
+    """Of candidates(key, method, rank, is_gold): mentions, mean candidates, shares of alias and vector candidates, recall at 1, 3, 5."""
+    per = candidates.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("method") == "vector").alias("v"), F.min(F.when(F.col("is_gold"), F.col("rank"))).alias("gold_rank"))
+    found = [safe_ratio(F.count_if(F.col("gold_rank") <= k), F.count("*")).alias(f"recall_at_{k}") for k in (1, 3, 5)]
+    return per.agg(F.count("*").alias("mentions"), F.avg("n").alias("mean_candidates"), safe_ratio(F.sum("v"), F.sum("n")).alias("vector_share"), safe_ratio(F.sum("n") - F.sum("v"), F.sum("n")).alias("alias_share"), *found)
+
+
+def error_cause(gold_id: Column, pred_id: Column, candidate_ids: Column) -> Column:
+    """What went wrong and why: recall (no candidates, or gold is not among them), disambiguation (another was taken, or
+    none though gold was there), a NIL that was linked; null where nothing did."""
+    among = F.coalesce(F.array_contains(candidate_ids, gold_id), F.lit(False))
+    return (
+        F.when(gold_id.isNull() & pred_id.isNotNull(), "nil_linked")
+        .when(gold_id.isNull() | F.coalesce(gold_id == pred_id, F.lit(False)), F.lit(None))
+        .when(F.coalesce(F.size(candidate_ids), F.lit(0)) <= 0, "recall:no_candidates")
+        .when(~among, "recall:gold_not_generated")
+        .when(pred_id.isNull(), "nil_false_positive:below_threshold")
+        .otherwise("disambiguation:other_taken")
+    )
+
+
+def all_cases(sets: dict[str, DataFrame]) -> DataFrame:
+    """Cases of several sets with the set's name as source; columns that one lacks are null."""
+    out = None
+    for name, rows in sets.items():
+        one = rows.withColumn("source", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def case_target(mentions: Column, index: Column) -> Column:
+    """The mention of a case, counted from 0; null beyond the ends."""
+    return F.when(index >= 0, F.get(mentions, index))
+
+
+def sentence_distance(sentence: Column, antecedents: Column) -> Column:
+    """The greatest distance in sentences to the antecedents' sentences; 0 without any."""
+    return F.coalesce(F.array_max(F.transform(antecedents, lambda a: F.greatest(F.lit(0), sentence - a))), F.lit(0))
+
+
+def distance_bucket(d: Column) -> Column:
+    return F.when(d <= 0, "same").when(d == 1, "next").when(d == 2, "two").otherwise("three_or_more")
+
+
+def target_type(kinds: Column) -> Column:
+    """The type of a set of antecedents, MIXED: and all of them if they differ."""
+    k = F.array_sort(F.array_distinct(kinds))
+    return F.when(F.size(k) == 0, "UNKNOWN").when(F.size(k) == 1, F.get(k, 0)).otherwise(F.concat(F.lit("MIXED:"), F.array_join(k, "+")))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,10 @@ from ..functions import lexicons as lx
 from ..functions import text as tx
 
 
+#: Aliases that one automaton holds, about a hundred bytes each.
+ALIASES_OF_A_PART = 200_000
+
+
 def _priority(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in lx.TYPE_PRIORITY.items() for x in kv]), kind), F.lit(1))
 
@@ -17,39 +26,90 @@ def _source_priority(source: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in lx.SOURCE_PRIORITY.items() for x in kv]), source), F.lit(1))
 
 
-def occurrences(docs: DataFrame, aliases: DataFrame, n: int = 3) -> DataFrame:
-    """doc_id, alias, start of every occurrence: texts and aliases meet on the first n characters (aliases shorter than n
-    on their first one), never all with all."""
+class _Finder:
+    """Finds the aliases of one part of the dictionary in a text."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        import ahocorasick
 
-    def meet(width: int, part: DataFrame) -> DataFrame:
-        grams = docs.select("doc_id", "text", F.explode(tx.ngrams(F.col("text"), width)).alias("k"))
-        return grams.join(part.withColumn("k", F.substring("alias", 1, width)), "k").where(F.contains("text", "alias")).select("doc_id", "text", *part.columns)
+        self.automaton = ahocorasick.Automaton()
+        for i, (alias, _) in enumerate(rows):
+            self.automaton.add_word(alias, i)
+        self.automaton.make_automaton()
+        self.rows = rows
 
-    long, short = aliases.where(F.length("alias") >= n), aliases.where((F.length("alias") > 0) & (F.length("alias") < n))
-    hits = meet(n, long).unionByName(meet(1, short))
-    size, last = F.length("alias"), F.length("text") - F.length("alias")
-    at = F.filter(F.sequence(F.lit(0), last), lambda i: F.substring("text", i + 1, size) == F.col("alias"))
-    return hits.withColumn("start", F.explode(at))
+    def places(self, text: str) -> dict[int, list[int]]:
+        """The starts of each alias (its number) that occurs, rising."""
+        out: dict[int, list[int]] = {}
+        for end, i in self.automaton.iter(text):
+            out.setdefault(i, []).append(end + 1 - len(self.rows[i][0]))
+        return out
 
 
-def gazetteer(docs: DataFrame, aliases: DataFrame) -> DataFrame:
+def taken(found: list[tuple[str, int, list[int]]]) -> list[tuple[str, int, int]]:
+    """alias, start, end of what the greedy choice takes of found(alias, alias_ord, starts), by place, longer ones first.
+
+    Spans that were taken are kept as sorted starts and ends, so that a place is tested by bisection.
+    """
+    starts: list[int] = []
+    ends: list[int] = []
+    out = []
+    for alias, _, places in sorted(found, key=lambda x: (-len(x[0]), x[1], x[0])):
+        for a in places:
+            b = a + len(alias)
+            k = bisect.bisect_right(starts, a)
+            if (k and ends[k - 1] > a) or (k < len(starts) and starts[k] < b):
+                continue
+            starts.insert(k, a)
+            ends.insert(k, b)
+            out.append((alias, a, b))
+            break
+    return sorted(out, key=lambda x: (x[1], -x[2]))
+
+
+def gazetteer(docs: DataFrame, aliases: DataFrame, part: int = ALIASES_OF_A_PART) -> DataFrame:
     """doc_id, mention, mention_type, char_start, char_end: aliases by falling length take their first occurrence that
     overlaps nothing taken before, so each alias stands once in a text at most.
 
-    aliases: alias, alias_ord, entity_type (of the alias's first entity). The greedy choice is a fold over a text's
-    occurrences in an array; what a fold holds is bounded by the text.
+    aliases: alias, alias_ord, entity_type (of the alias's first entity). An automaton over at most ``part`` aliases
+    (counted first) goes to every task and reads each text once. A larger dictionary is dealt over several, each of which
+    reads the texts; their finds meet by document before the choice, which is bounded by the text. doc_id must be unique.
     """
-    occ = occurrences(docs, aliases)
-    item = F.struct(F.negative(F.length("alias")).alias("neg"), "alias_ord", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("alias")).cast("int").alias("end"), "alias", "entity_type")
-    per = occ.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("o"))
-    empty = F.array().cast(f"array<{per.schema['o'].dataType.elementType.simpleString()}>")
-
-    def take(acc: Column, x: Column) -> Column:
-        blocked = F.exists(acc, lambda a: ((a["start"] < x["end"]) & (x["start"] < a["end"])) | (a["alias"] == x["alias"]))
-        return F.when(blocked, acc).otherwise(F.concat(acc, F.array(x)))
-
-    got = per.select("doc_id", F.explode(F.aggregate("o", empty, take)).alias("m"))
-    return got.select("doc_id", F.col("m.alias").alias("mention"), tx.mention_type_of(F.col("m.entity_type")).alias("mention_type"), F.col("m.start").alias("char_start"), F.col("m.end").alias("char_end"))
+    a = aliases.where(F.length("alias") > 0).select("alias", "alias_ord")
+    parts = max(1, -(-a.count() // part))
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    every = None
+    for k in range(parts):
+        some = a if parts == 1 else a.where(F.pmod(F.xxhash64("alias"), F.lit(parts)) == k)
+        rows = spark.sparkContext.broadcast(sorted((r["alias"], r["alias_ord"]) for r in some.toLocalIterator()))  # about ``part`` aliases
+
+        def run(it: Iterable[pa.RecordBatch], rows=rows, whole=parts == 1) -> Iterator[pa.RecordBatch]:
+            finder = _Finder(rows.value) if rows.value else None
+            for b in it:
+                spans: list[tuple[int, str, int, int, int]] = []
+                for at, text in enumerate(b.column("text").to_pylist()):
+                    found = [(*rows.value[i], p) for i, p in finder.places(text).items()] if finder and text else []
+                    if whole:
+                        spans += [(at, alias, s, e, 0) for alias, s, e in taken(found)]
+                    else:
+                        spans += [(at, alias, s, s + len(alias), o) for alias, o, p in found for s in p]
+                ids, names, first, last, ords = zip(*spans, strict=True) if spans else ((),) * 5
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(names, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(ords, pa.int64())], names=["doc_id", "mention", "char_start", "char_end", "alias_ord"])
+
+        got = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, mention string, char_start int, char_end int, alias_ord long")
+        every = got if every is None else every.unionByName(got)
+    if parts > 1:
+
+        def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+            found = [(m, int(g["alias_ord"].iloc[0]), sorted(g["char_start"].tolist())) for m, g in pdf.groupby("mention")]
+            return pd.DataFrame([(pdf["doc_id"].iloc[0], *x, 0) for x in taken(found)], columns=list(pdf.columns))
+
+        every = every.groupBy("doc_id").applyInPandas(choose, every.schema)
+    types = aliases.select(F.col("alias").alias("_a"), "entity_type").dropDuplicates(["_a"])
+    if parts == 1:
+        types = F.broadcast(types)
+    out = every.join(types, F.col("mention") == F.col("_a"))
+    return out.select("doc_id", "mention", tx.mention_type_of(F.col("entity_type")).alias("mention_type"), "char_start", "char_end")
 
 
 def merge(spans: DataFrame) -> DataFrame:

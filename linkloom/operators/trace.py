@@ -44,6 +44,20 @@ class TraceStore:
         return list_runs(rows if status is None else rows.where(F.col("status") == status), limit)
 
 
+def with_mentions(rows: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Candidates or link results (mention_id, ...) with their mention's text and place; rows of unknown mentions go."""
+    m = mentions.select(F.col("id").alias("_m"), "mention_text", "start_idx", "end_idx", "doc_id")
+    return rows.join(m, F.col("mention_id") == F.col("_m")).drop("_m")
+
+
+def audit_of_run(audit: DataFrame, mentions: DataFrame, run_id: str) -> DataFrame:
+    """Audit rows of a run, or of its mentions, with the mention's text where there is one."""
+    own = mentions.where(F.col("run_id") == run_id).select(F.col("id").alias("_o")).distinct().withColumn("_own", F.lit(True))
+    text = mentions.groupBy(F.col("id").alias("_m")).agg(F.min("mention_text").alias("mention_text"))
+    rows = audit.join(own, F.col("mention_id") == F.col("_o"), "left").where((F.col("run_id") == run_id) | F.col("_own"))
+    return rows.join(text, F.col("mention_id") == F.col("_m"), "left").drop("_o", "_own", "_m")
+
+
 def latest_runs(events: DataFrame) -> DataFrame:
     """run_id, status, start_ts, end_ts: the latest status by time."""
     return events.groupBy("run_id").agg(F.max_by("status", "ts").alias("status"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))

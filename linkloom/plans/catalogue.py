@@ -58,6 +58,14 @@ PAIRS = """
     prs AS (SELECT m.mention, a.alias, a.fo, a.fp, least(length(m.mention), length(a.alias)) AS s, greatest(length(m.mention), length(a.alias)) AS l
             FROM men m JOIN fst a ON (contains(a.alias, m.mention) OR contains(m.mention, a.alias))
             WHERE least(length(m.mention), length(a.alias)) * 2 >= greatest(length(m.mention), length(a.alias)) AND least(length(m.mention), length(a.alias)) >= 3)"""
+#: The same pairs by trigrams, where the nested loop of PAIRS takes the database too long; fuzzy_nested_loop proves them equal.
+PAIRS_BY_TRIGRAM = """
+    mtg AS MATERIALIZED (SELECT mention, unnest(list_distinct(list_transform(range(1, length(mention) - 1), lambda i: substr(mention, i, 3)))) AS k FROM men),
+    atg AS MATERIALIZED (SELECT alias, unnest(list_distinct(list_transform(range(1, length(alias) - 1), lambda i: substr(alias, i, 3)))) AS k FROM fst),
+    met AS MATERIALIZED (SELECT m.mention, a.alias FROM men m JOIN atg a ON a.k = substr(m.mention, 1, 3) AND length(m.mention) <= length(a.alias) AND contains(a.alias, m.mention)
+            UNION SELECT m.mention, a.alias FROM mtg m JOIN fst a ON m.k = substr(a.alias, 1, 3) AND length(m.mention) > length(a.alias) AND contains(m.mention, a.alias)),
+    prs AS MATERIALIZED (SELECT t.mention, t.alias, a.fo, a.fp, least(length(t.mention), length(t.alias)) AS s, greatest(length(t.mention), length(t.alias)) AS l
+            FROM met t JOIN fst a ON a.alias = t.alias WHERE least(length(t.mention), length(t.alias)) * 2 >= greatest(length(t.mention), length(t.alias)))"""
 SCORE = "CAST(0.35 AS DOUBLE) + CAST(0.35 AS DOUBLE) * (s / l) + CAST(0.30 AS DOUBLE) * (CAST(1.0 AS DOUBLE) - (l - s) / l)"
 CANDS = f"""
     sco AS (SELECT p.mention, a.item_id, p.alias, p.fo, p.fp, {SCORE} AS score FROM prs p JOIN ali a ON a.alias = p.alias),
@@ -139,7 +147,7 @@ BEST = """
 
 
 @query(
-    f"""WITH {KB}, {PAIRS}, {CANDS}, {BEST} SELECT mention, CASE WHEN score >= CAST(0.9 AS DOUBLE) THEN entity_id END AS entity_id, CAST(floor(score * 1000000) AS BIGINT) AS score_micro,
+    f"""WITH {KB}, {PAIRS_BY_TRIGRAM}, {CANDS}, {BEST} SELECT mention, CASE WHEN score >= CAST(0.9 AS DOUBLE) THEN entity_id END AS entity_id, CAST(floor(score * 1000000) AS BIGINT) AS score_micro,
     CAST(n AS BIGINT) AS candidate_count, entity_id IS NULL OR score < CAST(0.9 AS DOUBLE) AS is_nil, CASE WHEN n = 0 THEN 'no_candidates' WHEN score < CAST(0.9 AS DOUBLE) THEN 'nil_threshold' ELSE 'entity_selected' END AS reason FROM dec"""
 )
 def decide_words(spark, sf):
@@ -179,6 +187,7 @@ def rerank_blend(spark, sf):
     return decide.rerank_blend(e, ["label"]).select("label", "vec_id", "place", micro("blended"))
 
 
+@query()
 def gazetteer_ner(spark, sf):
     i = word_index(spark, sf).groupBy("alias").agg(F.min("alias_ord").alias("alias_ord")).withColumn("entity_type", F.lit("ORG"))
     return ner.gazetteer(t(spark, sf, "documents").select("doc_id", "text"), i)
@@ -566,6 +575,7 @@ def link_by_language(spark, sf):
     return per_word.join(links, "mention").groupBy("lang").agg(F.sum("n").alias("total"), F.sum(F.when(~F.col("is_nil"), F.col("n")).otherwise(0)).alias("linked"), F.sum(F.when(F.col("is_nil"), F.col("n")).otherwise(0)).alias("nil"))
 
 
+@query()
 def link_documents(spark, sf):
     """The whole plan on raw texts: gazetteer, candidates, decisions, coreference."""
     docs = t(spark, sf, "documents").select("doc_id", "text")

@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,22 +48,24 @@ def _entity(r: dict) -> dict:
 
 
 def read_json_kb(spark: SparkSession, path: str) -> DataFrame:
-    """Entities of JSON files of any layout; each file is one value."""
+    """Entities of JSON files of any layout; each file is one value. entity_ord follows the files' names, then the place in a
+    file (2 ** 31 files and 2 ** 32 entities a file at most)."""
 
     def run(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows = []
             for text, at in zip(pdf["value"], pdf["file"], strict=True):
-                rows += [_entity(r) | {"entity_ord": at * (1 << 32) + i} for i, r in enumerate(_records(json.loads(text)))]
+                rows += [_entity(r) | {"entity_ord": (at << 32) + i} for i, r in enumerate(_records(json.loads(text)))]
             yield pd.DataFrame(rows, columns=ENTITY_SCHEMA.names)
 
     try:
-        files = spark.read.text(path, wholetext=True)
+        files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("name"))
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], ENTITY_SCHEMA)
         raise
-    got = files.select("value", F.monotonically_increasing_id().alias("file")).mapInPandas(run, ENTITY_SCHEMA)
+    names = files.select("name").distinct().withColumn("file", F.row_number().over(Window.orderBy("name")).cast("long") - 1)  # a row for each file
+    got = files.join(F.broadcast(names), "name").select("value", "file").mapInPandas(run, ENTITY_SCHEMA)
     return normalised(got)
 
 
@@ -73,10 +75,14 @@ def normalised(entities: DataFrame) -> DataFrame:
 
 
 def from_table(df: DataFrame, **columns: str) -> DataFrame:
-    """Entities of a table: which column is which; the others are empty. entity_ord orders by id."""
+    """Entities of a table: which column is which; the others are empty. entity_ord is the column named so (``entity_ord=``), else
+    a hash of the id: the same each time, but in no order that means anything."""
     pick = lambda c, kind: F.col(columns[c]).cast(kind) if c in columns else F.lit(None).cast(kind)
-    rows = df.select(*[pick(f.name, f.dataType.simpleString()).alias(f.name) for f in ENTITY_SCHEMA.fields if f.name != "entity_ord"])
-    return normalised(rows.withColumn("entity_type", F.coalesce("entity_type", F.lit("UNKNOWN")))).withColumn("entity_ord", F.xxhash64("entity_id"))
+    keep = [F.col(columns["entity_ord"]).cast("long").alias("_ord")] if "entity_ord" in columns else []
+    order = F.col("_ord") if keep else F.xxhash64("entity_id")
+    rows = df.select(*keep, *[pick(f.name, f.dataType.simpleString()).alias(f.name) for f in ENTITY_SCHEMA.fields if f.name != "entity_ord"])
+    out = normalised(rows.withColumn("entity_type", F.coalesce("entity_type", F.lit("UNKNOWN")))).withColumn("entity_ord", order)
+    return out.select(*ENTITY_SCHEMA.names)
 
 
 def read_expansion(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from linkloom.plans import catalogue
+from linkloom.plans import audits, catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -47,5 +47,12 @@ def test_same_as_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", audits.ORACLE)
+def test_audits_same_as_sql(spark, duck, name):
+    got, want = audits.QUERIES[name](spark, SF).toPandas(), duck.sql(audits.ORACLE[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want) and len(got)
+
+
 def test_every_query_is_a_callable():
     assert len(catalogue.QUERIES) > 50 and set(catalogue.ORACLE) <= set(catalogue.QUERIES)
