@@ -56,3 +56,9 @@ def test_audits_same_as_sql(spark, duck, name):
 
 def test_every_query_is_a_callable():
     assert len(catalogue.QUERIES) > 50 and set(catalogue.ORACLE) <= set(catalogue.QUERIES)
+
+
+def test_entry_point(spark):
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(catalogue.QUERIES) | set(audits.QUERIES) <= set(entry.queries()) and entry.entry(spark).columns
