@@ -34,9 +34,9 @@ PLAIN = chr(0)
 #: Marks that end a piece and are a word of their own after letters.
 MARKS = frozenset(",.;:!?")
 #: Characters of texts that are split together, and words that go through the model together.
-CHUNK, WORDS_AT_ONCE = 1 << 22, 8192
+CHUNK, WORDS_AT_ONCE = 1 << 21, 8192
 #: Pieces that a generation of a worker's memo holds, and the longest that it does.
-MEMO, LONGEST = 250_000, 48
+MEMO, LONGEST = 150_000, 48
 
 
 def byte_letters() -> dict[int, str]:
