@@ -84,7 +84,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str, normalise: Callable[[Co
     counted = picked.mapInArrow(count_lines(path, path.endswith(".model")), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     discard(misses)
-    counts = read_cache(spark, cache, version)
+    # a table, not an aggregate, so that the join may split the rows of a digest with many copies
+    counts = stored(read_cache(spark, cache, version), "count-known")
     out = keyed.select("doc_id", F.octet_length("_text").cast("long").alias("n_bytes"), "digest").join(counts, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
