@@ -135,7 +135,6 @@ def removed_lines(rows, t=0.8):
 def test_line_dedup_by_brute_force(spark, monkeypatch, few):
     if few:  # centres and representatives at work
         monkeypatch.setattr(line_dedup, "FREQUENT", 1)
-        monkeypatch.setattr(line_dedup, "OF_A_CENTRE", 4)
         monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
     r = random.Random(6)
     base = [[f"t{r.randrange(60)}" for _ in range(n)] for n in (1, 2, 5, 9, 12, 20, 130, 240)]
