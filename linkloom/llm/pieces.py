@@ -33,10 +33,11 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 PLAIN = chr(0)
 #: Marks that end a piece and are a word of their own after letters.
 MARKS = frozenset(",.;:!?")
-#: Characters of texts that are split together, and words that go through the model together.
-CHUNK, WORDS_AT_ONCE = 1 << 21, 8192
-#: Pieces that a generation of a worker's memo holds, and the longest that it does.
-MEMO, LONGEST = 150_000, 48
+#: Characters of texts that are split together, keys that are new and learned together, and words that go through the
+#: model together.
+CHUNK, KEYS_AT_ONCE, WORDS_AT_ONCE = 3 << 20, 1 << 14, 512
+#: Keys beyond which a worker's memo is cut to the most frequent, how many these are, and the longest that it keeps.
+MEMO, KEPT, LONGEST = 300_000, 225_000, 48
 
 
 def byte_letters() -> dict[int, str]:
@@ -48,7 +49,8 @@ def byte_letters() -> dict[int, str]:
 
 def single_blanks(text: str) -> bool:
     """Whether all white space is blanks and line ends, single, between other printable characters."""
-    return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(p in text for p in ("  ", " \n", "\n ", "\n\n")) and text.replace("\n", "").isprintable()
+    one = text.replace("\n", " ")
+    return bool(one) and one[0] != " " and one[-1] != " " and "  " not in one and one.isprintable()
 
 
 _loaded: dict[tuple[str, type], object] = {}
@@ -79,20 +81,19 @@ class PieceEncoder:
         self.special = {a["content"]: a["id"] for a in told.get("added_tokens", [])}
         self.by_piece = self.by_piece and all(map(plain, told.get("added_tokens", [])))
         self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # The memo: keys, how many ids each has, all these ids in turn, and how often each key was met.
+        self.known = pa.array([], pa.large_string())
+        self.sizes, self.flat, self.hits = np.zeros(0, np.int32), np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if self.by_piece:
             model = self.tokenizer.model
             if hasattr(model, "_resize_cache"):
                 model._resize_cache(0)  # the memo is the cache
             self.model = Tokenizer(model)
             self.model.pre_tokenizer = WhitespaceSplit()
-            self.blank = byte_letters()[0x20]
             vocab = told["model"]["vocab"]
             self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)  # letters of each entry
             self.lengths[list(vocab.values())] = [len(w) for w in vocab]
-            self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
-            self.line_ids = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
+            self.letters = np.array([ord(c) for _, c in sorted(byte_letters().items())], "<u4")
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text; a special string is one."""
@@ -100,103 +101,110 @@ class PieceEncoder:
             return [p for i, part in enumerate(self.split.split(text)) if part for p in ([part] if i % 2 else PIECE.findall(part))]
         return PIECE.findall(text)
 
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of pieces: their words, told apart as the file's own pre-tokenizer does, go through its model at once."""
-        special = self.special
-        split = {p: [p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else SPLIT.findall(p) for p in new if p not in special}
-        known = {w: got for w in set(chain.from_iterable(split.values())) if w[:1] == " " and (got := self.memo.get(w[1:])) is not None}
-        words = list({w for ws in split.values() for w in ws if w not in known})
-        known |= zip(words, self.encode_words(words), strict=True)
-        got = {p: known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws)) for p, ws in split.items()}
-        return got | {p: np.array([special[p]], "<u4").tobytes() for p in new if p in special}
+    def words_of(self, key: str) -> list[str]:
+        """The words of what a key stands for, told apart as the file's own pre-tokenizer does; a special string is one."""
+        if key.isalpha():
+            return [" " + key]
+        if key[-1:] in MARKS and key[:-1].isalpha():
+            return [" " + key[:-1], key[-1]]
+        piece = key[1:] if key[:1] in (PLAIN, "\n") else " " + key
+        words = [piece] if piece.isalpha() or piece in self.special else SPLIT.findall(piece)
+        return ["\n", *words] if key[:1] == "\n" else words
+
+    def learn(self, keys: list[str]) -> list[bytes]:
+        """The ids of distinct keys, whose distinct words go through the model together."""
+        split = list(map(self.words_of, keys))
+        words = set(chain.from_iterable(split))
+        ids = {w: np.array([self.special[w]], "<u4").tobytes() for w in words.intersection(self.special)}
+        plain = [w for w in words if w not in ids]
+        ids.update(zip(plain, self.encode_words(plain), strict=True))
+        return [ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws)) for ws in split]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words by the library: many words, in the vocabulary's letters and parted by blanks, go
         through its model as one text that is split at the blanks."""
-        letters, out = self.letters, []
+        out = []
         for a in range(0, len(words), WORDS_AT_ONCE):
-            some = words[a : a + WORDS_AT_ONCE]
-            mapped = [self.blank + w[1:] if w[0] == " " and w[1:].isalpha() and w.isascii() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters) for w in some]
-            ids = np.array(self.model.encode_batch_fast([" ".join(mapped)], add_special_tokens=False)[0].ids, "<u4")
-            done, ends = np.cumsum(self.lengths[ids]), np.cumsum([len(w) for w in mapped])
+            some = pa.array(words[a : a + WORDS_AT_ONCE], pa.large_binary())
+            upto = np.frombuffer(some.buffers()[1], np.int64, len(some) + 1)
+            mapped = np.full(upto[-1] + len(some), 0x20, "<u4")
+            mapped[np.arange(upto[-1]) + np.repeat(np.arange(len(some)), np.diff(upto))] = self.letters[np.frombuffer(some.buffers()[2], np.uint8, upto[-1])]
+            ids = np.array(self.model.encode_batch_fast([mapped.tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, "<u4")
+            done, ends = np.cumsum(self.lengths[ids]), upto[1:]
             if not len(ids) or done[-1] != ends[-1]:
                 raise ValueError("the vocabulary lacks a byte")
             raw, cuts = ids.tobytes(), [0, *(4 * np.searchsorted(done, ends) + 4).tolist()]
             out += [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
         return out
 
-    def resolve(self, keys: list[str]) -> dict[str, bytes]:
-        """The ids that keys stand for."""
-        text = {k: k[1:] if k[:1] in (PLAIN, "\n") else " " + k for k in keys}
-        got = self.learn([p for p in set(text.values()) if p])
-        got[""] = b""
-        return {k: self.line_ids + got[p] if k[:1] == "\n" else got[p] for k, p in text.items()}
-
-    def ids_of(self, keys: list[str]) -> list[bytes]:
-        """The ids of distinct keys, through the memo; long keys are not kept there."""
-        if len(self.memo) > MEMO:
-            self.old, self.memo = self.memo, {}
-        memo, old = self.memo, self.old
-        new = [k for k in keys if k not in memo]
-        if old:
-            memo.update({k: old[k] for k in new if k in old})
-            new = [k for k in new if k not in memo]
-        letters = [k for k in new if k.isalpha() and len(k) <= LONGEST]
-        marked = [k for k in new if k[-1:] in MARKS and k[:-1].isalpha() and len(k) <= LONGEST]
-        letters += {k[:-1] for k in marked}.difference(memo, letters)
-        memo.update(zip(letters, self.encode_words([" " + k for k in letters]), strict=True))
-        marks = {m: self.learn([m])[m] for m in {k[-1] for k in marked}}
-        memo.update({k: memo[k[:-1]] + marks[k[-1]] for k in marked})
-        new = [k for k in new if k not in memo]
-        long = self.resolve([k for k in new if len(k) > LONGEST])
-        memo.update(self.resolve([k for k in new if len(k) <= LONGEST]))
-        if long:
-            return [long[k] if k in long else memo[k] for k in keys]
-        return list(map(memo.__getitem__, keys))
-
-    def split_keys(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The distinct keys of texts, for each key in turn its place among them, and where each text's keys end."""
+    def split_keys(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each key of texts in turn its place in the memo, which learns the new ones, and where each text's keys end."""
         odd = [i for i, t in enumerate(texts) if not single_blanks(t) or (self.split is not None and any(s in t for s in self.special))]
         at_odd = set(odd)
         plain = pa.array([PLAIN + t.replace("\n", " \n") for i, t in enumerate(texts) if i not in at_odd], pa.large_string())
         parts = pc.split_pattern(plain, " ")
-        words = parts.flatten().dictionary_encode()
-        distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
         ends = np.asarray(parts.offsets)[1:].astype(np.int64) - int(parts.offsets[0].as_py())
+        own = [[PLAIN + p for p in self.pieces(texts[i])] for i in odd]
+        codes = self.places([parts.flatten(), pa.array(chain.from_iterable(own), pa.large_string())])
         if not odd:
-            return distinct, codes, ends
-        place = {k: i for i, k in enumerate(distinct)}
-        own = {i: np.array([place.setdefault(PLAIN + p, len(place)) for p in self.pieces(texts[i])], codes.dtype) for i in odd}
-        runs, starts, k = [], np.concatenate(([0], ends)), 0
-        for i in range(len(texts)):
-            if i in at_odd:
-                runs.append(own[i])
-            else:
-                runs.append(codes[starts[k] : starts[k + 1]])
-                k += 1
-        return list(place), np.concatenate(runs), np.cumsum([len(r) for r in runs])
+            return codes, ends
+        sizes, from_odd = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        from_odd[odd] = True
+        sizes[~from_odd], sizes[odd] = np.diff(ends, prepend=0), [len(x) for x in own]
+        kept, of = np.empty_like(codes), np.repeat(from_odd, sizes)
+        n = int(ends[-1]) if len(ends) else 0
+        kept[~of], kept[of] = codes[:n], codes[n:]
+        return kept, np.cumsum(sizes)
+
+    def places(self, keys: list[pa.Array]) -> np.ndarray:
+        """The place of each key in the memo; the memo's keys come first in one dictionary with them, so that only those
+        behind them are new."""
+        n = len(self.known)
+        found = pa.concat_arrays([self.known, *keys]).dictionary_encode()
+        codes, self.known = found.indices.to_numpy(zero_copy_only=False)[n:], found.dictionary
+        sizes, flat = [self.sizes], [self.flat]
+        for a in range(n, len(self.known), KEYS_AT_ONCE):
+            ids = self.learn(self.known.slice(a, KEYS_AT_ONCE).to_pylist())
+            sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)) >> 2)
+            flat.append(np.frombuffer(b"".join(ids), "<u4"))
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
+        met = np.bincount(codes, minlength=len(self.known))
+        met[:n] += self.hits
+        self.hits = met
+        return codes
+
+    def forget(self, before: int) -> None:
+        """Drop the long keys among those that are new since the memo had ``before``, and of a full memo the rarer and older."""
+        keep = np.ones(len(self.known), bool)
+        keep[before:] = pc.utf8_length(self.known.slice(before)).to_numpy(zero_copy_only=False) <= LONGEST
+        if np.count_nonzero(keep) > MEMO:
+            worth = np.where(keep, self.hits << 32 | np.arange(len(keep)), -1)
+            keep = worth >= np.partition(worth, -KEPT)[-KEPT]
+            self.hits = self.hits >> 1
+        if not keep.all():
+            self.known, self.flat = self.known.filter(pa.array(keep)), self.flat[np.repeat(keep, self.sizes)]
+            self.sizes, self.hits = self.sizes[keep], self.hits[keep]
 
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text in turn; memory holds the pieces of a chunk of texts and two generations of the memo.
+        """The ids of each text in turn; memory holds the pieces of a chunk of texts and the memo.
 
-        Arrow splits a chunk and finds its distinct pieces, these are looked up or encoded, and numpy puts their ids
-        in the places of the pieces."""
+        Arrow splits a chunk and finds its pieces among the memo's, new ones are encoded, and numpy puts the ids in the
+        places of the pieces."""
         gc.disable()  # dictionaries of strings hold no cycles, and each pass over them would cost as much as the encoding
         for _, some in chunks(texts, CHUNK):
             if not self.by_piece:
                 for e in self.tokenizer.encode_batch(some, add_special_tokens=False):
                     yield np.array(e.ids, "<u4").tobytes()
                 continue
-            distinct, codes, ends = self.split_keys(some)
-            ids = self.ids_of(distinct)
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-            of = sizes[codes]
-            upto = np.concatenate(([0], np.cumsum(of)))
-            kind = np.int32 if max(len(flat), upto[-1]) < 1 << 31 else np.int64
-            at = np.repeat(((np.cumsum(sizes) - sizes)[codes] - upto[:-1]).astype(kind), of)
+            before = len(self.known)
+            codes, ends = self.split_keys(some)
+            of = self.sizes[codes]
+            upto = np.concatenate(([0], np.cumsum(of, dtype=np.int64)))
+            kind = np.int32 if max(len(self.flat), upto[-1]) < 1 << 31 else np.int64
+            at = np.repeat(((np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[codes] - upto[:-1]).astype(kind), of)
             at += np.arange(len(at), dtype=kind)
-            whole, cuts = flat[at], upto[np.concatenate(([0], ends))].tolist()
+            whole, cuts = self.flat[at], upto[np.concatenate(([0], ends))].tolist()
+            self.forget(before)
             for a, b in zip(cuts, cuts[1:], strict=False):
                 yield whole[a:b].tobytes()
 

@@ -15,8 +15,8 @@ before it, and its checksum says whether that went well. Blocks know nothing of
 each other, so all decode in parallel.
 
 A part is what one task wrote. If the partitions of the scan already hold
-disjoint ranges of doc_id they become the parts; else rows are range-partitioned
-first. Defined cases: null text has the end id only; null doc_ids come first and
+disjoint ranges of doc_id they become the parts, sorted only where a check of the
+ids finds that they do not ascend; else rows are range-partitioned first. Defined cases: null text has the end id only; null doc_ids come first and
 read back as null; equal ids stand next to each other, in no defined order; texts
 of any length are taken whole; an empty table gives a file set without blocks;
 other columns, whatever their names, are not read.
@@ -39,9 +39,12 @@ from .pieces import encoder
 
 SCALE = 20
 LOW = 1 << 31
-LANES, INTERVAL = 4096, 128
-#: A block closes with the document that brings it to so many tokens.
-BLOCK_TOKENS = 1 << 20
+LANES, INTERVAL = 2048, 128
+#: A block closes with the document that brings it to so many tokens: 400 KB of plain ids, less than an object that the
+#: JVM's collector keeps apart in its heap.
+BLOCK_TOKENS = 200_000
+#: Options of both tables' Parquet files. Their rows are blocks, and a scan takes thousands of rows of a row group at once.
+FEW_ROWS = {"parquet.block.row.count.limit": "8", "parquet.enable.dictionary": "false"}
 NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<4s6IQ")
 
@@ -175,14 +178,15 @@ def _stage(path: str, end_id: int):
         part, block, start = TaskContext.get().partitionId(), 0, 0
         held: list[bytes] = []
         ids: list[int] = []
-        n = 0
+        n, last = 0, NO_ID
 
         def close() -> pa.RecordBatch:
-            nonlocal block, start, n
+            nonlocal block, start, n, last
             whole = np.frombuffer(b"".join(held), "<u4")
             narrow = whole.astype("<u2") if len(whole) and whole.max() < 1 << 16 else whole
-            row = {"part": [part], "block": [block], "start": [start], "n_tokens": [len(whole)], "first_id": [ids[0]], "last_id": [ids[-1]], "doc_ids": [np.array(ids, "<i8").tobytes()], "lens": [np.array([len(h) // 4 for h in held], "<u4").tobytes()], "width": [narrow.itemsize], "ids": [narrow.tobytes()]}
-            block, start, n = block + 1, start + len(whole), 0
+            at = np.array([last, *ids], np.int64)
+            row = {"part": [part], "block": [block], "start": [start], "n_tokens": [len(whole)], "first_id": [ids[0]], "last_id": [ids[-1]], "ascending": [bool((at[1:] >= at[:-1]).all())], "doc_ids": [at[1:].astype("<i8").tobytes()], "lens": [np.array([len(h) // 4 for h in held], "<u4").tobytes()], "width": [narrow.itemsize], "ids": [narrow.tobytes()]}
+            block, start, n, last = block + 1, start + len(whole), 0, ids[-1]
             held.clear()
             ids.clear()
             return pa.RecordBatch.from_pydict(row, schema=_STAGE)
@@ -200,14 +204,30 @@ def _stage(path: str, end_id: int):
     return run
 
 
-_STAGE = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.binary()), ("lens", pa.binary()), ("width", pa.int32()), ("ids", pa.binary())])
-_STAGE_DDL = "part int, block int, start long, n_tokens long, first_id long, last_id long, doc_ids binary, lens binary, width int, ids binary"
+_STAGE = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("ascending", pa.bool_()), ("doc_ids", pa.binary()), ("lens", pa.binary()), ("width", pa.int32()), ("ids", pa.binary())])
+_STAGE_DDL = "part int, block int, start long, n_tokens long, first_id long, last_id long, ascending boolean, doc_ids binary, lens binary, width int, ids binary"
 
 
-def _overlaps(ranges: DataFrame) -> bool:
-    """Whether parts(low, high) share ids; one row for each task."""
-    w = Window.orderBy("low", "high")
-    return ranges.withColumn("before", F.lag("high").over(w)).where(F.col("before") >= F.col("low")).limit(1).count() > 0
+def _ranges(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least and the greatest doc_id of a partition, and whether its ids ascend, none of them null."""
+    low, high, last, nulls, ascending = [], [], NO_ID, False, True
+    for b in it:
+        ids = b.column("doc_id")
+        nulls = nulls or ids.null_count > 0
+        ids = ids.drop_null().to_numpy(zero_copy_only=False)
+        if len(ids):
+            ascending = ascending and bool(ids[0] >= last and (ids[1:] >= ids[:-1]).all())
+            low, high, last = [min([*low, int(ids.min())])], [max([*high, int(ids.max())])], int(ids[-1])
+    if low or nulls:
+        yield pa.RecordBatch.from_pydict({"low": low or [None], "high": high or [None], "nulls": [nulls], "ascending": [ascending and not nulls]}, schema=pa.schema([("low", pa.int64()), ("high", pa.int64()), ("nulls", pa.bool_()), ("ascending", pa.bool_())]))
+
+
+def _order(ranges: DataFrame) -> tuple[bool, bool]:
+    """Whether parts(low, high, nulls, ascending) hold disjoint ids, none null, and whether each ascends; one row for each task."""
+    before = F.lag("high").over(Window.orderBy("low", "high"))
+    apart = F.coalesce(before < F.col("low"), F.lit(True)) & ~F.col("nulls")
+    got = ranges.select(apart.alias("apart"), "ascending").agg(F.min("apart").alias("apart"), F.min("ascending").alias("ascending")).first()
+    return got["apart"] is not False, got["ascending"] is not False
 
 
 def _counts(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,17 +246,18 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0) ->
     """Encode docs(doc_id, text), each with the end id, and write a file set to the folder ``out``."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    ids = rows.select("doc_id", F.spark_partition_id().alias("p"))
-    ranges = ids.groupBy("p").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("low"), F.max("doc_id").alias("high"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
-    in_order = ranges.where("nulls > 0").limit(1).count() == 0 and not _overlaps(ranges)
-    for ranged in [False, True] if in_order else [True]:
-        dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first()) if ranged else rows
+    apart, ascending = _order(rows.select("doc_id").mapInArrow(_ranges, "low long, high long, nulls boolean, ascending boolean"))
+    in_turn = F.col("doc_id").asc_nulls_first()
+    ranged = lambda: rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), in_turn).sortWithinPartitions(in_turn)
+    # a scan that deals its rows otherwise the second time is found out by what was staged
+    for dealt in [rows if ascending else rows.sortWithinPartitions(in_turn), None] if apart else [None]:
         staged = shared_path(spark, "tokens-staged")
         with settings(spark, **SMALL_BATCHES):
-            dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(_stage(tokenizer, end_id), _STAGE_DDL).write.option("compression", "snappy").parquet(staged)
+            (ranged() if dealt is None else dealt).mapInArrow(_stage(tokenizer, end_id), _STAGE_DDL).write.options(compression="snappy", **FEW_ROWS).parquet(staged)
         stage = spark.read.schema(_STAGE_DDL).parquet(staged)
-        if ranged or not _overlaps(stage.groupBy("part").agg(F.min("first_id").alias("low"), F.max("last_id").alias("high"))):
+        if dealt is None or all(_order(stage.groupBy("part").agg(F.min("first_id").alias("low"), F.max("last_id").alias("high"), F.lit(False).alias("nulls"), F.min("ascending").alias("ascending")))):
             break
+        remove_path(spark, staged)
     counts = stage.select("width", "ids").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()  # a row for each vocabulary entry at most
     size = int(counts["token"].max()) + 1 if len(counts) else 0
     seen = np.zeros(size, np.int64)
@@ -253,7 +274,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0) ->
                 yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int32()), pa.array([r["block"]], pa.int32()), pa.array([r["first_id"]], pa.int64()), pa.array([r["n_tokens"]], pa.int64()), pa.array([payload], pa.binary())], names=["part", "block", "first_id", "n_tokens", "payload"])
 
     with settings(spark, **{ARROW_ROWS: "16"}):  # rows are blocks
-        stage.mapInArrow(code, "part int, block int, first_id long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{out}/blocks")
+        stage.mapInArrow(code, "part int, block int, first_id long, n_tokens long, payload binary").write.options(compression="none", **FEW_ROWS).parquet(f"{out}/blocks")
     remove_path(spark, staged)
     spark.createDataFrame(counts.assign(freq=freq[counts["token"].to_numpy(np.int64)].astype(np.int64))[["token", "freq"]], "token long, freq long").coalesce(1).write.parquet(f"{out}/model")
     return out

@@ -308,6 +308,53 @@ def test_token_file_on_odd_rows(spark, odd, tmp_path):
     assert token_file.read_tokens(spark, token_file.write_tokens(odd.limit(0), queries.tokenizer(), f"file://{tmp_path}/e")).count() == 0
 
 
+def test_token_file_keeps_few_and_small_rows_together(spark, library, tmp_path):
+    """A scan takes thousands of rows of a row group at once, so that these are an executor's memory."""
+    import pyarrow.parquet as pq
+
+    texts = [" ".join(["one two three"] * 20_000) for _ in range(40)]
+    path = token_file.write_tokens(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).coalesce(1), queries.tokenizer(), f"file://{tmp_path}/t")
+    files = [pq.ParquetFile(f) for f in (tmp_path / "t" / "blocks").glob("*.parquet")]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 10 and max(g.num_rows for g in groups) <= 8
+    assert max(max(f.read(["n_tokens"])["n_tokens"].to_pylist()) for f in files if f.metadata.num_rows) * 2 < 1 << 19
+    ids = np.array(expected_ids(library, texts[:1])[0] + [0], "<u4")
+    got = token_file.read_tokens(spark, path).orderBy("doc_id").collect()
+    assert [tuple(x) for x in got] == [(i, i * len(ids), len(ids), zlib.crc32(ids.tobytes())) for i in range(40)]
+
+
+def test_token_file_sorts_what_does_not_ascend(spark, library, tmp_path):
+    """Partitions that ascend, that only hold disjoint ids, and that overlap."""
+    texts = [words(random.Random(i), 1 + i % 7) for i in range(40)]
+    want, at = [], 0
+    for i, ids in enumerate(expected_ids(library, texts)):
+        want.append((i, at, len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())))
+        at += len(ids) + 1
+    ascending = [*range(40)]
+    for k, order in enumerate([ascending, [*range(9, -1, -1), *range(10, 40)], [*range(30, 40), *range(30)], ascending[::-1], ascending[::3] + ascending[1::3] + ascending[2::3]]):
+        df = docs(spark, [(i, texts[i], "en", "a") for i in order])
+        assert df.rdd.getNumPartitions() == 4
+        got = token_file.read_tokens(spark, token_file.write_tokens(df, queries.tokenizer(), f"file://{tmp_path}/{k}")).orderBy("doc_id").collect()
+        assert [tuple(x) for x in got] == want
+
+
+def test_memo_is_cut_to_the_frequent_pieces(library, monkeypatch):
+    from linkloom.llm import pieces
+
+    for name, value in {"CHUNK": 300, "KEYS_AT_ONCE": 7, "WORDS_AT_ONCE": 5, "MEMO": 30, "KEPT": 10}.items():
+        monkeypatch.setattr(pieces, name, value, raising=False)
+    r = random.Random(13)
+    rare = lambda: "".join(r.choice("abcdeéßñ") for _ in range(r.randrange(3, 9))) + r.choice(["", "", ",", ".", "%%", "'s", "x" * 60])
+    texts = [" ".join(r.choice(["the", "of\nthe", "and,", rare(), *([rare() + "<|endoftext|>", "of  it"] if i % 4 == 0 else [])]) for _ in range(r.randrange(60))) for i in range(200)]
+    want = [np.array(i, "<u4").tobytes() for i in expected_ids(library, texts)]
+    for kind in (pieces.PieceEncoder, trie_bpe.TrieBPE):
+        e = kind(queries.tokenizer())
+        assert list(e.encode_many(texts)) == want
+        known = e.known.to_pylist()
+        assert {"the", "and,", "\nthe"} <= set(known) and len(known) <= 30 and max(map(len, known)) <= 48
+        assert len(set(known)) == len(known) == len(e.sizes) == len(e.hits) and len(e.flat) == e.sizes.sum()
+
+
 def test_blocks_decode_by_segment_and_know_damage(monkeypatch):
     monkeypatch.setattr(token_file, "LANES", 16)
     monkeypatch.setattr(token_file, "INTERVAL", 8)
