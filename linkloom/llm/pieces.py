@@ -35,9 +35,9 @@ PLAIN = chr(0)
 MARKS = frozenset(",.;:!?")
 #: Characters of texts that are split together, keys that are new and learned together, and words that go through the
 #: model together.
-CHUNK, KEYS_AT_ONCE, WORDS_AT_ONCE = 3 << 20, 1 << 14, 512
+CHUNK, KEYS_AT_ONCE, WORDS_AT_ONCE = 1 << 22, 1 << 14, 512
 #: Keys beyond which a worker's memo is cut to the most frequent, how many these are, and the longest that it keeps.
-MEMO, KEPT, LONGEST = 300_000, 225_000, 48
+MEMO, KEPT, LONGEST = 500_000, 400_000, 48
 
 
 def byte_letters() -> dict[int, str]:
@@ -103,8 +103,6 @@ class PieceEncoder:
 
     def words_of(self, key: str) -> list[str]:
         """The words of what a key stands for, told apart as the file's own pre-tokenizer does; a special string is one."""
-        if key.isalpha():
-            return [" " + key]
         if key[-1:] in MARKS and key[:-1].isalpha():
             return [" " + key[:-1], key[-1]]
         piece = key[1:] if key[:1] in (PLAIN, "\n") else " " + key
@@ -113,12 +111,14 @@ class PieceEncoder:
 
     def learn(self, keys: list[str]) -> list[bytes]:
         """The ids of distinct keys, whose distinct words go through the model together."""
-        split = list(map(self.words_of, keys))
-        words = set(chain.from_iterable(split))
+        split = {k: self.words_of(k) for k in keys if not k.isalpha()}
+        words = {" " + k for k in keys if k not in split}
+        words.update(chain.from_iterable(split.values()))
         ids = {w: np.array([self.special[w]], "<u4").tobytes() for w in words.intersection(self.special)}
-        plain = [w for w in words if w not in ids]
+        plain = [w for w in words if w not in ids] if ids else list(words)
         ids.update(zip(plain, self.encode_words(plain), strict=True))
-        return [ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws)) for ws in split]
+        of = {k: b"".join([ids[w] for w in ws]) for k, ws in split.items()}
+        return [of[k] if k in of else ids[" " + k] for k in keys]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words by the library: many words, in the vocabulary's letters and parted by blanks, go
@@ -164,7 +164,7 @@ class PieceEncoder:
         codes, self.known = found.indices.to_numpy(zero_copy_only=False)[n:], found.dictionary
         sizes, flat = [self.sizes], [self.flat]
         for a in range(n, len(self.known), KEYS_AT_ONCE):
-            ids = self.learn(self.known.slice(a, KEYS_AT_ONCE).to_pylist())
+            ids = self.learn(self.known.slice(a, KEYS_AT_ONCE).to_numpy(zero_copy_only=False).tolist())
             sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)) >> 2)
             flat.append(np.frombuffer(b"".join(ids), "<u4"))
         self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)

@@ -171,7 +171,8 @@ def unpack(coder: Coder, payload: bytes, only: list[int] | None = None) -> tuple
 
 
 def _stage(path: str, end_id: int):
-    """Runs of whole documents of a sorted partition, ids still plain."""
+    """Runs of whole documents of a sorted partition, ids still plain, and last a row without a block that has the counts
+    of the partition's tokens."""
 
     def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
@@ -179,13 +180,17 @@ def _stage(path: str, end_id: int):
         held: list[bytes] = []
         ids: list[int] = []
         n, last = 0, NO_ID
+        total = np.zeros(0, np.int64)
 
         def close() -> pa.RecordBatch:
-            nonlocal block, start, n, last
+            nonlocal block, start, n, last, total
             whole = np.frombuffer(b"".join(held), "<u4")
+            seen = np.bincount(whole, minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
             narrow = whole.astype("<u2") if len(whole) and whole.max() < 1 << 16 else whole
             at = np.array([last, *ids], np.int64)
-            row = {"part": [part], "block": [block], "start": [start], "n_tokens": [len(whole)], "first_id": [ids[0]], "last_id": [ids[-1]], "ascending": [bool((at[1:] >= at[:-1]).all())], "doc_ids": [at[1:].astype("<i8").tobytes()], "lens": [np.array([len(h) // 4 for h in held], "<u4").tobytes()], "width": [narrow.itemsize], "ids": [narrow.tobytes()]}
+            row = {"part": [part], "block": [block], "start": [start], "n_tokens": [len(whole)], "first_id": [ids[0]], "last_id": [ids[-1]], "ascending": [bool((at[1:] >= at[:-1]).all())], "doc_ids": [at[1:].astype("<i8").tobytes()], "lens": [np.array([len(h) // 4 for h in held], "<u4").tobytes()], "width": [narrow.itemsize], "ids": [narrow.tobytes()], "counts": [None]}
             block, start, n, last = block + 1, start + len(whole), 0, ids[-1]
             held.clear()
             ids.clear()
@@ -200,12 +205,16 @@ def _stage(path: str, end_id: int):
                     yield close()
         if held:
             yield close()
+        if block:
+            tokens = np.flatnonzero(total)
+            row = {name: [None] for name in _STAGE.names} | {"part": [part], "counts": [tokens.astype("<i8").tobytes() + total[tokens].astype("<i8").tobytes()]}
+            yield pa.RecordBatch.from_pydict(row, schema=_STAGE)
 
     return run
 
 
-_STAGE = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("ascending", pa.bool_()), ("doc_ids", pa.binary()), ("lens", pa.binary()), ("width", pa.int32()), ("ids", pa.binary())])
-_STAGE_DDL = "part int, block int, start long, n_tokens long, first_id long, last_id long, ascending boolean, doc_ids binary, lens binary, width int, ids binary"
+_STAGE = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("ascending", pa.bool_()), ("doc_ids", pa.binary()), ("lens", pa.binary()), ("width", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
+_STAGE_DDL = "part int, block int, start long, n_tokens long, first_id long, last_id long, ascending boolean, doc_ids binary, lens binary, width int, ids binary, counts binary"
 
 
 def _ranges(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,11 +242,10 @@ def _order(ranges: DataFrame) -> tuple[bool, bool]:
 def _counts(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for b in it:
-        for width, raw in zip(b.column("width").to_pylist(), b.column("ids"), strict=True):
-            raw = raw.as_buffer()
-            got = np.bincount(np.frombuffer(raw, f"<u{width}"), minlength=len(total))
-            got[: len(total)] += total
-            total = got
+        for raw in b.column("counts"):
+            tokens, n = np.frombuffer(raw.as_buffer(), "<i8").reshape(2, -1)
+            total = np.concatenate([total, np.zeros(max(0, int(tokens.max()) + 1 - len(total)), np.int64)])
+            total[tokens] += n
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["token", "n"])
 
@@ -254,11 +262,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 0) ->
         staged = shared_path(spark, "tokens-staged")
         with settings(spark, **SMALL_BATCHES):
             (ranged() if dealt is None else dealt).mapInArrow(_stage(tokenizer, end_id), _STAGE_DDL).write.options(compression="snappy", **FEW_ROWS).parquet(staged)
-        stage = spark.read.schema(_STAGE_DDL).parquet(staged)
+        told = spark.read.schema(_STAGE_DDL).parquet(staged)
+        stage = told.where("counts IS NULL").drop("counts")
         if dealt is None or all(_order(stage.groupBy("part").agg(F.min("first_id").alias("low"), F.max("last_id").alias("high"), F.lit(False).alias("nulls"), F.min("ascending").alias("ascending")))):
             break
         remove_path(spark, staged)
-    counts = stage.select("width", "ids").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()  # a row for each vocabulary entry at most
+    counts = told.where("counts IS NOT NULL").select("counts").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()  # a row for each vocabulary entry at most
     size = int(counts["token"].max()) + 1 if len(counts) else 0
     seen = np.zeros(size, np.int64)
     seen[counts["token"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
