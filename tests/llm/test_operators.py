@@ -341,8 +341,11 @@ def test_token_file_sorts_what_does_not_ascend(spark, library, tmp_path):
 def test_memo_is_cut_to_the_frequent_pieces(library, monkeypatch):
     from linkloom.llm import pieces
 
-    for name, value in {"CHUNK": 300, "KEYS_AT_ONCE": 7, "WORDS_AT_ONCE": 5, "MEMO": 30, "KEPT": 10}.items():
+    for name, value in {"KEYS_AT_ONCE": 7, "WORDS_AT_ONCE": 5}.items():
         monkeypatch.setattr(pieces, name, value, raising=False)
+    for kind in (pieces.PieceEncoder, trie_bpe.TrieBPE):
+        for name, value in {"CHUNK": 300, "MEMO": 30, "KEPT": 10}.items():
+            monkeypatch.setattr(kind, name, value, raising=False)
     r = random.Random(13)
     rare = lambda: "".join(r.choice("abcdeéßñ") for _ in range(r.randrange(3, 9))) + r.choice(["", "", ",", ".", "%%", "'s", "x" * 60])
     texts = [" ".join(r.choice(["the", "of\nthe", "and,", rare(), *([rare() + "<|endoftext|>", "of  it"] if i % 4 == 0 else [])]) for _ in range(r.randrange(60))) for i in range(200)]
