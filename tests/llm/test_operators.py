@@ -154,6 +154,28 @@ def test_line_dedup_by_brute_force(spark, monkeypatch, few):
         assert x["text"] == want and x["n_chars"] == (None if want is None else len(want))
 
 
+def test_line_dedup_counts_a_share_of_the_lines(spark, monkeypatch):
+    def classes(rows):
+        many = spark.createDataFrame(rows, "_doc long, text string")
+        return [c for c in spark.range(1).select(line_dedup.frequency_classes(many, 10).alias("c")).first()["c"] if c]
+
+    short, long = [(i, "word\n \n word ") for i in range(4000)], [(7, "word\n" * 40_000)]
+    for rows, lines in ((short, 8000), (long, 40_000)):
+        (c,) = classes(rows)
+        assert 8 * math.log2(lines / 10) <= c <= 8 * math.log2(lines / 6.5)
+    # the counters order tokens only: without any the same lines go
+    monkeypatch.setattr(line_dedup, "COUNTED", 0)
+    assert classes(short) == []
+    r = random.Random(16)
+    base = [[f"t{r.randrange(40)}" for _ in range(n)] for n in (1, 3, 10, 40, 150)]
+    text = lambda: "\n".join(" " * r.randrange(3) + "  ".join(r.sample(w, len(w) - r.randrange(1 + len(w) // 8))) + " " * r.randrange(2) for w in r.choices(base, k=r.randrange(6)))
+    rows = [(i, text()) for i in range(30)]
+    gone = removed_lines(rows)
+    for x in line_dedup.dedup(docs(spark, [(i, t, "en", "a") for i, t in rows]).drop("removed_")).collect():
+        assert x["removed_"] == sorted(k for i, k in gone if i == x["doc_id"])
+        assert x["n_lines_"] == len(rows[x["doc_id"]][1].split("\n")) and x["n_removed_"] == len(x["removed_"])
+
+
 def test_line_dedup_on_odd_rows(spark, odd):
     got = line_dedup.dedup(odd.drop("removed_")).collect()
     by = defaultdict(list)
