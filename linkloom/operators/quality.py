@@ -10,9 +10,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, ByteType, IntegerType, LongType, StructField, StructType
 
 from ..functions import text as tx
+from .vectors import _shared
 
 #: Sizes of the grams by which similar texts meet, the first that is sure to find a text's partners.
 GRAM_SIZES = (8, 5, 2)
@@ -267,6 +268,80 @@ def similar_pairs(rows: DataFrame, id_col: str, text_col: str, at_least: float =
     return copies.union(found)
 
 
+def _bigram_set(text: str | None) -> bytes | None:
+    """The distinct pairs of neighbouring code points, sorted."""
+    if text is None:
+        return None
+    cp = _code_points(text).astype(np.int64)
+    return np.unique(cp[:-1] << 21 | cp[1:]).tobytes()
+
+
+def _overlap(a: bytes, b: bytes) -> tuple[int, int]:
+    """Sizes of the intersection and of the union of two sets."""
+    x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both, len(x) + len(y) - both
+
+
+def previous_jaccard(rows: DataFrame, id_col: str, group_col: str, text_col: str) -> DataFrame:
+    """id and j: Jaccard similarity of each text's bigrams with those of the text before it, by id, in its group.
+
+    A text travels as the set of its bigrams, which is stored, dealt by ranges of group and id and walked in order, so
+    that a large group spreads over many tasks; the first set of a range meets the last one before it afterwards. Rows
+    without such a text or of which both sets are empty are left out; a null text has a null similarity, as in SQL.
+    """
+    spark = rows.sparkSession
+    path = _shared(spark, "bigrams")
+    t = rows.select(F.col(id_col).alias("id"), F.col(group_col).alias("k"), F.col(text_col).alias("t"))
+    kinds = [t.schema["id"], t.schema["k"]]
+
+    def sets(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("k"), pa.array([_bigram_set(x) for x in part.column("t").to_pylist()], pa.binary())], names=["id", "k", "g"])
+
+    t.mapInArrow(sets, StructType([*kinds, StructField("g", BinaryType())])).write.parquet(f"{path}/sets")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    ranges = spark.read.parquet(f"{path}/sets").repartitionByRange(parts, "k", "id").sortWithinPartitions("k", "id")
+
+    def walk(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Overlaps of neighbours; edge 1 is the first row of a range with its set, edge 2 the last one."""
+        before, last = None, None
+        for b in it:
+            if not b.num_rows:
+                continue
+            both: list[int | None] = []
+            every: list[int | None] = []
+            edge, held = [0] * b.num_rows, [None] * b.num_rows
+            for n, (k, g) in enumerate(zip(b.column("k").to_pylist(), b.column("g").to_pylist(), strict=True)):
+                if before is None:
+                    edge[n], held[n] = 1, g
+                near = before is not None and before[0] == k and before[1] is not None
+                x, y = _overlap(g, before[1]) if near and g is not None else (None, len(before[1]) // 8 if near else None)
+                both.append(x)
+                every.append(y)
+                before = (k, g)
+            last = (b.slice(b.num_rows - 1, 1), before[1])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k"), pa.array(both, pa.int32()), pa.array(every, pa.int32()), pa.array(edge, pa.int8()), pa.array(held, pa.binary())], names=names)
+        if last:
+            yield pa.RecordBatch.from_arrays([last[0].column("id"), last[0].column("k"), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([2], pa.int8()), pa.array([last[1]], pa.binary())], names=names)
+
+    names = ["id", "k", "both", "every", "edge", "g"]
+    ranges.mapInArrow(walk, StructType([*kinds, StructField("both", IntegerType()), StructField("every", IntegerType()), StructField("edge", ByteType()), StructField("g", BinaryType())])).write.parquet(f"{path}/walked")
+    gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/sets")
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    walked = spark.read.parquet(f"{path}/walked")
+
+    @F.pandas_udf("both int, every int")
+    def overlap(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_overlap(x, y) if x is not None else (None, len(y) // 8) for x, y in zip(a, b, strict=True)], columns=["both", "every"])
+
+    w = Window.partitionBy("k").orderBy("id", "edge")  # two rows a range
+    first = walked.where("edge > 0").withColumn("h", F.lag("g").over(w)).where("edge = 1 and h is not null").withColumn("o", overlap("g", "h")).select("id", "o.both", "o.every")
+    return walked.where("edge = 0").select("id", "both", "every").unionByName(first).where("every > 0").select("id", (F.col("both") / F.col("every")).alias("j"))
+
+
 def _ratio(p: str, q: str, at_least: float) -> float:
     """SequenceMatcher's ratio, or 0 where the grams of both say that it is below ``at_least``."""
     x, y = _code_points(p), _code_points(q)
