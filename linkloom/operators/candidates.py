@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lx
 from ..functions import text as tx
 
-#: Up to so many aliases (rows of a few dozen bytes, counted first) a nested loop over a broadcast index is cheaper than trigram keys.
-NESTED_LOOP_ALIASES = 2_000
+#: Up to so many aliases (counted first) their keys, a few dozen each, are broadcast.
+BROADCAST_ALIASES = 20_000
+#: The most characters of a key by which strings meet that may hold one another.
+KEY_LENGTH = 16
 
 
 def exact(mentions: DataFrame, index: DataFrame) -> DataFrame:
@@ -34,22 +36,40 @@ def _contained(m: Column, a: Column) -> Column:
     return (short >= lx.MIN_FUZZY_LENGTH) & (short / long >= lx.MIN_FUZZY_RATIO) & (F.contains(a, m) | F.contains(m, a))
 
 
+def _runs(text: Column, n: Column) -> Column:
+    """The distinct runs of n characters, none if the text is shorter."""
+    last = F.length(text) - n + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def _lengths(first: Column, last: Column) -> Column:
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
 def containment_pairs(mentions: DataFrame, aliases: DataFrame, plan: str = "auto") -> DataFrame:
     """mention, stripped and alias of all pairs in which one holds the other.
 
-    plan "nested" broadcasts the aliases; "trigram" joins on the first three characters of the shorter side, which are
-    a trigram of the longer. "auto" counts the aliases to choose.
+    plan "nested" broadcasts the aliases; "trigram" joins on a run of characters of both. The shorter side has half of
+    the longer one's length at least, so a mention meets the aliases around it by its start, up to KEY_LENGTH, among
+    their runs of so many characters; aliases inside it meet it by their starts of half its length among its own
+    runs. Either way a pair meets once. "auto" counts the aliases to see whether their keys may be broadcast.
     """
     m = mentions.select("mention").distinct().withColumn("stripped", tx.strip_spaces(F.col("mention"))).where("stripped <> ''")
     a = aliases.select("alias").distinct()
-    if plan == "auto":
-        plan = "nested" if a.limit(NESTED_LOOP_ALIASES + 1).count() <= NESTED_LOOP_ALIASES else "trigram"
     if plan == "nested":
         return m.join(F.broadcast(a), _contained(F.col("stripped"), F.col("alias")))
-    inside = m.where(F.length("stripped") >= 3).withColumn("k", F.substring("stripped", 1, 3)).join(a.withColumn("k", F.explode(tx.ngrams(F.col("alias"), 3))), "k")
-    around = m.withColumn("k", F.explode(tx.ngrams(F.col("stripped"), 3))).join(a.where(F.length("alias") >= 3).withColumn("k", F.substring("alias", 1, 3)), "k")
-    both = inside.where(F.length("stripped") <= F.length("alias")).unionByName(around.where(F.length("stripped") > F.length("alias")))
-    return both.where(_contained(F.col("stripped"), F.col("alias"))).select("mention", "stripped", "alias").distinct()
+    s, t = F.col("stripped"), F.col("alias")
+    least = lambda c: F.least(F.lit(KEY_LENGTH), F.greatest(F.lit(lx.MIN_FUZZY_LENGTH), F.ceil(F.length(c) * lx.MIN_FUZZY_RATIO - 1e-6).cast("int")))
+    most = lambda c: F.least(F.lit(KEY_LENGTH), F.length(c))
+    start, held = lambda k: F.concat(F.lit("<"), k), lambda k: F.concat(F.lit(">"), k)
+    of_mention = F.concat(F.array(start(F.substring(s, F.lit(1), most(s)))), F.transform(_runs(s, least(s)), held))
+    of_alias = F.concat(F.flatten(F.transform(_lengths(least(t), most(t)), lambda n: F.transform(_runs(t, n), start))), F.transform(_lengths(F.lit(lx.MIN_FUZZY_LENGTH), most(t)), lambda n: held(F.substring(t, F.lit(1), n))))
+    keys = a.select("alias", F.explode(of_alias).alias("k"))
+    if plan == "auto" and a.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES:
+        keys = F.broadcast(keys)
+    both = m.where(F.length(s) >= lx.MIN_FUZZY_LENGTH).withColumn("k", F.explode(of_mention)).join(keys, "k")
+    around = F.startswith("k", F.lit("<")) == (F.length(s) <= F.length(t))
+    return both.where(around & _contained(s, t)).select("mention", "stripped", "alias")
 
 
 def fuzzy(mentions: DataFrame, index: DataFrame, top_k: int = lx.TOP_K, plan: str = "auto") -> DataFrame:
