@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from linkloom.operators import candidates
+from linkloom.plans import catalogue
 
 
 def test_keys_find_what_brute_force_finds(spark):
@@ -20,3 +21,8 @@ def test_hundreds_of_aliases_take_no_nested_loop(spark):
     words = [("w" + "".join(chr(97 + int(d)) for d in str(i)),) for i in range(300)]
     pairs = candidates.containment_pairs(spark.createDataFrame(words, "mention string"), spark.createDataFrame(words, "alias string"))
     assert "NestedLoopJoin" not in pairs._jdf.queryExecution().executedPlan().toString() and pairs.where(F.col("mention") == F.col("alias")).count() == 290
+
+
+def test_texts_are_read_once_for_all_steps(spark):
+    plan = catalogue.decide_words(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
