@@ -24,5 +24,6 @@ def test_hundreds_of_aliases_take_no_nested_loop(spark):
 
 
 def test_texts_are_read_once_for_all_steps(spark):
-    plan = catalogue.decide_words(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "documents.parquet" not in plan
+    for query in (catalogue.decide_words, catalogue.link_by_language):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "documents.parquet" not in plan
