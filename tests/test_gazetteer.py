@@ -64,3 +64,8 @@ def test_whole_plan_on_raw_texts(spark):
     n = got.count()
     assert n > 0 and got.where("is_nil = false and entity_id is null").count() == 0
     assert linking.Options.of({"nil_threshold": "0.5"}).nil_threshold == 0.5
+
+
+def test_texts_are_not_searched_again_for_each_step(spark):
+    plan = catalogue.link_documents(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("documents.parquet") <= 4
